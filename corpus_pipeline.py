@@ -1,0 +1,52 @@
+"""The corpus pipeline: toxicity, near-duplicates, mixing to target weights, packing."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestrata.llm.common import materialise
+from lodestrata.llm.mixing import Mix, mix_sources
+from lodestrata.llm.packing import pack
+from lodestrata.llm.probminhash import near_duplicates
+from lodestrata.llm.toxicity import score_toxicity
+
+#: One epoch at most: the mixing stage gives no document twice.
+MIX = Mix(per_mille=700, max_epochs=1)
+
+
+def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below 0.5."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = score_toxicity(docs, labels, keep=docs.columns)
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: that of the smallest id."""
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone"))
+    return docs.join(gone, docs.doc_id == F.col("gone"), "left_anti").select(*docs.columns)
+
+
+def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A token prefix of each domain-language-source leaf, at target weights."""
+    return mix_sources(docs, MIX).select(*docs.columns)
+
+
+def pack_sequences(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces in sequences of at most 1,024 tokens, each window at the sources' shares."""
+    return pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("mixing", mix), ("packing", pack_sequences)]
+
+#: The nearest-example vote, the signatures and the tokenizer are beyond SQL; tests hold each stage against brute force.
+ORACLE_SQL = None
+
+
+def run(spark, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
