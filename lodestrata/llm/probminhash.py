@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, hash_words, materialise, mix, mix_in_place, plain_words, release, slices
+from .common import connected_components, hash_words, materialise, mix, mix_in_place, plain_words, slices
 
 GOLDEN = 0x9E3779B97F4A7C15
 BANDS, ROWS = 25, 5
@@ -125,39 +125,89 @@ def _verify(threshold: float):
     return run
 
 
-def _cross(least: float, most: int | None):
-    """Pairs of a bucket that lie in different components and whose signatures agree in ``least`` of the registers; per row the ``most`` that agree best."""
+def _runs(rows):
+    """The buckets of a group: positions of the rows to compare, on the left and the right, with a block's signature agreement."""
+    side = np.asarray(rows.column("side"))
+    bucket = np.unique(np.asarray(rows.column("band")), return_inverse=True)[1].ravel()
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(bucket))])
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        mine = order[a:b]
+        yield (mine, mine) if (side[mine] == 0).all() else (mine[side[mine] == 1], mine[side[mine] == 2])
+
+
+def _agreement(sig: np.ndarray, left: np.ndarray, right: np.ndarray):
+    step = max(1, (16 << 20) // max(1, len(right) * M))
+    for s in range(0, len(left), step):
+        yield left[s : s + step], (sig[left[s : s + step]][:, None, :] == sig[right][None, :, :]).sum(2, dtype=np.int32)
+
+
+def _signatures(rows) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, M)
+
+
+def _propose(least: float, most: int = 2):
+    """For each row of a bucket, the few rows of other components whose signatures agree best with its own."""
 
     def run(_, rows):
-        rep, component, side = (np.asarray(rows.column(c)) for c in ("rep", "component", "side"))
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, M)
-        bucket = np.unique(np.asarray(rows.column("band")), return_inverse=True)[1].ravel()
-        order = np.argsort(bucket, kind="stable")
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(bucket))])
+        rep, component, sig = np.asarray(rows.column("rep")), np.asarray(rows.column("component")), _signatures(rows)
         us, vs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            mine = order[a:b]
-            left, right = (mine, mine) if (side[mine] == 0).all() else (mine[side[mine] == 1], mine[side[mine] == 2])
-            step = max(1, (16 << 20) // max(1, len(right) * M))
-            for s in range(0, len(left), step):
-                l = left[s : s + step]
-                agree = (sig[l][:, None, :] == sig[right][None, :, :]).sum(2, dtype=np.int32)
+        for left, right in _runs(rows):
+            for l, agree in _agreement(sig, left, right):
                 agree[component[l][:, None] == component[right][None, :]] = 0
-                if most is not None and len(right) > most:
-                    limit = np.partition(agree, len(right) - most, axis=1)[:, len(right) - most]
-                    agree[agree < limit[:, None]] = 0
-                    over = np.cumsum(agree > 0, axis=1) > 2 * most
-                    agree[over] = 0
-                i, j = np.nonzero(agree >= least * M)
-                us.append(np.minimum(rep[l[i]], rep[right[j]]))
-                vs.append(np.maximum(rep[l[i]], rep[right[j]]))
+                best = np.argsort(-agree, axis=1, kind="stable")[:, :most]
+                i = np.repeat(np.arange(len(l)), best.shape[1])
+                j = best.ravel()
+                good = agree[i, j] >= least * M
+                us.append(rep[l[i[good]]])
+                vs.append(rep[right[j[good]]])
         u, v = np.concatenate(us), np.concatenate(vs)
-        pairs = np.unique(np.stack([u, v], 1), axis=0)
+        pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
         return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
 
     return run
 
 
+def _settle(least: float, threshold: float):
+    """The links between components within each bucket: every cross pair that agrees enough is verified here, in the first band it shares, until its components are one."""
+
+    def run(_, rows):
+        rep, component, sig = np.asarray(rows.column("rep")), np.asarray(rows.column("component")).copy(), _signatures(rows)
+        band = np.asarray(rows.column("band"))
+        bands = np.asarray(rows.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in rows.column("shingles").to_pylist()]
+        us, vs = [], []
+        for left, right in _runs(rows):
+            # the rows outside the largest component look for links; within one chunk pair either side may be the larger
+            both = np.concatenate([left, right])
+            names, n = np.unique(component[both], return_counts=True)
+            outside = left[component[left] != names[n.argmax()]]
+            inside, across = (right, None) if left is right else (right, right[component[right] != names[n.argmax()]])
+            for seek, pool in ((outside, inside), (across, left)) if across is not None else ((outside, inside),):
+                for l, agree in _agreement(sig, seek, pool):
+                    for k, x in enumerate(l.tolist()):
+                        ys = np.nonzero((agree[k] >= least * M) & (component[pool] != component[x]))[0]
+                        ys = pool[ys[np.argsort(-agree[k][ys], kind="stable")]]
+                        same = bands[ys] == bands[x]
+                        ys = ys[bands[x][same.argmax(1)] == band[x]] if len(ys) else ys
+                        mine = sets[x]
+                        while len(ys):
+                            part, ys = ys[:64], ys[64:]
+                            sizes = np.array([len(sets[y]) for y in part.tolist()])
+                            flat = np.concatenate([sets[y] for y in part.tolist()])
+                            at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+                            common = np.add.reduceat((mine[at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+                            for y in part[common >= threshold * (sizes + len(mine) - common) - 1e-9].tolist():
+                                if component[y] != component[x]:
+                                    us.append(rep[x])
+                                    vs.append(rep[y])
+                                    component[component == component[y]] = component[x]
+                            ys = ys[component[ys] != component[x]]
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", chunk_rows: int = 2048) -> DataFrame:
     """Classes of documents linked by a Jaccard of 5-word shingles of ``threshold`` or more: doc_id, class_id, kept.
 
@@ -169,11 +219,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     registers (shingles weighted by their counts) give 25 bands of 5. Each
     bucket first proposes a star around its smallest id, which the distinct
     shingle sets verify exactly. Buckets that still hold several components go
-    on: first each row's best agreeing partners in other components, then all
-    cross-component pairs whose signatures agree in 0.6 of the registers, over
-    five standard errors below the threshold. Pairs within a component need no
-    test, so a large group of copies costs its star and not its square; buckets
-    beyond ``chunk_rows`` are dealt out as pairs of chunks, none is capped.
+    on: first each row's two best agreeing partners in other components, then,
+    inside the bucket and without emitting pairs, all cross-component pairs
+    whose signatures agree in 0.6 of the registers, over five standard errors
+    below the threshold. Pairs within a component need no test, so a large group
+    of copies costs its star and not its square; buckets beyond ``chunk_rows``
+    are dealt out as pairs of chunks, none is capped.
 
     Null and empty texts link with nothing. Rows with a null id come back with
     a null class, kept. An id on several rows has the links of all its texts
@@ -191,37 +242,41 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     firsts = materialise(firsts, "pmh-reps")
     banded = firsts.select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    shared = materialise(shared, "pmh-bands")
-    tested = materialise(banded.join(shared, "band").where("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct(), "pmh-pairs")
+    buckets = materialise(banded.join(shared, "band"), "pmh-buckets")
+    tested = materialise(buckets.where("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct(), "pmh-pairs")
+
+    # one shuffle of the texts at every size, for all that meet in a bucket
+    ends = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    sets = materialise(some.join(ends.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "pmh-sets", "lz4")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-        sets = materialise(some.join(ends, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "pmh-sets", "lz4")
         right = pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv")), "v")
         both = right.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("su")), "u").select("u", "v", "su", "sv")
-        out = materialise(both.mapInArrow(_verify(threshold), "u long, v long"), "pmh-links")
-        release(sets)
-        return out
+        return materialise(both.mapInArrow(_verify(threshold), "u long, v long"), "pmh-links")
 
     links = links.unionByName(verified(tested))
     component = materialise(connected_components(links), "pmh-components")
-    for most in (4, None):
-        placed = firsts.join(component, firsts.rep == component.node, "left").select("rep", "sig", "bands", F.coalesce("component", "rep").alias("component"))
-        spread = placed.select("rep", "component", F.explode("bands").alias("band"))
-        open_ = spread.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a < b").select("band", F.ceil(F.col("n") / chunk_rows).cast("int").alias("chunks"))
-        open_ = materialise(open_, "pmh-open")
-        if not open_.limit(1).count():
+    for last in (False, True):
+        placed = buckets.join(component, buckets.rep == component.node, "left").select("rep", "band", F.coalesce("component", "rep").alias("component"))
+        open_ = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("band", F.ceil(F.col("n") / chunk_rows).cast("int").alias("chunks"))
+        rows_open = materialise(placed.join(open_, "band"), "pmh-open")
+        if not rows_open.limit(1).count():
             break
-        rows_open = placed.select("rep", "component", "sig", F.explode("bands").alias("band")).join(open_, "band").withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks").cast("long")).cast("int"))
+        full = rows_open.join(firsts, "rep")
+        if last:
+            full = full.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+        else:
+            full = full.withColumn("shingles", F.lit(None).cast("binary"))
         pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(F.col("c"), o).alias("a"), F.greatest(F.col("c"), o).alias("b"), F.when(F.col("c") == o, 0).when(F.col("c") < o, 1).otherwise(2).alias("side")))
-        dealt = rows_open.withColumn("p", F.explode(pair)).select("rep", "component", "sig", "band", "chunks", "p.*")
+        dealt = full.withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks").cast("long")).cast("int")).withColumn("p", F.explode(pair)).select("rep", "component", "sig", "bands", "shingles", "band", "chunks", "p.*")
         n = max(4, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-        dealt = dealt.withColumn("g", F.when(F.col("chunks") > 1, F.col("band")).otherwise(F.pmod(F.col("band"), F.lit(n).cast("long"))))
-        more = materialise(dealt.groupBy("g", "a", "b").applyInArrow(_cross(0.6, most), "u long, v long").distinct().join(tested, ["u", "v"], "left_anti"), "pmh-cross")
-        if not more.limit(1).count():
-            continue
-        tested = tested.unionByName(more)
-        links = links.unionByName(verified(more))
+        dealt = dealt.withColumn("g", F.when(F.col("chunks") > 1, F.col("band")).otherwise(F.pmod(F.col("band"), F.lit(n).cast("long")))).groupBy("g", "a", "b")
+        if last:
+            new = materialise(dealt.applyInArrow(_settle(0.6, threshold), "u long, v long").distinct(), "pmh-last")
+        else:
+            more = materialise(dealt.applyInArrow(_propose(0.6), "u long, v long").distinct().join(tested, ["u", "v"], "left_anti"), "pmh-more")
+            new = verified(more)
+        links = links.unionByName(new)
         component = materialise(connected_components(links), "pmh-components")
     out = signed.select("doc_id").distinct().join(component, F.col("doc_id") == component.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
     out = out.unionByName(rows.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id")))
