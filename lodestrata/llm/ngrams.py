@@ -5,52 +5,93 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_words, hash_words, materialise, mix, release, slices
+from .common import ascii_words, materialise, mix, release, slices
 
-SEGMENTS, PROBES, MAX_BITS = 256, 4, 1 << 30
+SEGMENTS, PROBES, MAX_BITS = 1024, 4, 1 << 30
+SEGMENT_SHIFT = np.uint64(64 - 10)
 END = ""  # the end token: no word is empty
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BIGRAM, CONTEXT, RARE, START = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
-BLOCK = "block long, doc_ids array<long>, held array<boolean>, lens array<int>, ids binary, words array<string>, hashes binary, train array<long>"
+BLOCK = "block long, doc_ids array<long>, held array<boolean>, lens array<int>, ids binary, words array<string>, train array<long>"
 COUNTED = "block long, doc_ids array<long>, held array<boolean>, lens array<int>, ids binary, hashes binary, counts binary"
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """A column of numbers, byte by byte of each number, compressed."""
+    raw = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    return len(values).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+
+
+def expand(blob: bytes, kind: str) -> np.ndarray:
+    n, size = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
+    raw = pa.decompress(blob[8:], n * size, "zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, n).T).view(kind).ravel()
+
+
 def _tokenise(batches):
-    """Blocks of whole texts: token ids into the block's own word list, and each word's count in training rows."""
+    """Blocks of whole texts: token ids into the block's own word list, the most frequent first, and each word's count in training rows."""
     task, number = TaskContext.get().partitionId(), 0
-    for batch in slices(batches, 1, 16 << 20):
+    for batch in slices(batches, 1, 6 << 20):
         words, lens = ascii_words(batch.column(1))
         coded = words.dictionary_encode()
         names = pa.concat_arrays([coded.dictionary, pa.array([END])])
         # each text's tokens, then the end token
         ids = np.insert(coded.indices.to_numpy(zero_copy_only=False), np.cumsum(lens), len(names) - 1)
-        lens = lens + 1
+        order = np.argsort(-np.bincount(ids, minlength=len(names)), kind="stable")
+        rank = np.empty(len(order), dtype="<u4")
+        rank[order] = np.arange(len(order))
+        ids, names, lens = rank[ids], names.take(pa.array(order)), lens + 1
         held = batch.column(2).to_numpy(zero_copy_only=False)
         train = np.bincount(ids[~np.repeat(held, lens)], minlength=len(names))
         one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([task * (1 << 24) + number], pa.int64()), one(batch.column(0), pa.int64()), one(held, pa.bool_()), one(lens, pa.int32()), pa.array([ids.astype("<i4").tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), pa.array([hash_words(names).tobytes()], pa.binary()), one(train, pa.int64())],
-            names=["block", "doc_ids", "held", "lens", "ids", "words", "hashes", "train"],
+            [pa.array([task * (1 << 24) + number], pa.int64()), one(batch.column(0), pa.int64()), one(held, pa.bool_()), one(lens, pa.int32()), pa.array([squeeze(ids)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), one(train, pa.int64())],
+            names=["block", "doc_ids", "held", "lens", "ids", "words", "train"],
         )
         number += 1
+        pa.default_memory_pool().release_unused()
+
+
+def _gather(batches):
+    """(block, at, hash, count, first) rows as one compressed piece for each block and million rows."""
+    held, many = [], 0
+
+    def pieces():
+        block, at, h, c = (np.concatenate([x[k] for x in held]) for k in range(4))
+        order = np.lexsort((at, block))
+        block, at, h, c = block[order], at[order], h[order], c[order]
+        cuts = np.concatenate([[0], np.nonzero(np.diff(block))[0] + 1, [len(block)]])
+        rows = [(block[a], squeeze(at[a:b]), squeeze(h[a:b]), squeeze(c[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "at", "h", "c"])
+
+    for batch in batches:
+        block, at, h, c, first = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        # the sign tells the block that a word's count comes from
+        held.append((block.astype(np.int64), at.astype("<u4"), h.astype("<i8"), np.where(first, c, -c).astype("<i8")))
+        many += len(block)
+        if many > 1_000_000:
+            yield pieces()
+            held, many = [], 0
+    if many:
+        yield pieces()
 
 
 def _counted(key, block, counts):
-    """A block with the corpus count of each of its words."""
-    n = len(block.column("hashes")[0].as_py()) // 8
-    c = np.zeros(n, dtype="<i8")
-    c[np.asarray(counts.column("at"))] = np.asarray(counts.column("c"))
-    kept = block.select(["block", "doc_ids", "held", "lens", "ids", "hashes"])
-    return kept.append_column("counts", pa.array([c.tobytes()], pa.binary()))
+    """A block with the corpus count and the hash of each of its words."""
+    parts = [[expand(x, kind) for x in counts.column(name).to_pylist()] for name, kind in (("at", "<u4"), ("h", "<u8"), ("c", "<i8"))]
+    at, h, c = (np.concatenate(p) for p in parts)
+    order = np.argsort(at)
+    kept = block.select(["block", "doc_ids", "held", "lens", "ids"])
+    return kept.append_column("hashes", pa.array([h[order].tobytes()], pa.binary())).append_column("counts", pa.array([squeeze(c[order])], pa.binary()))
 
 
 class Model:
     """Hashes of n-grams and the smoothing; all counts but N and V come from the filter."""
 
-    def __init__(self, tokens: int, kinds: int, prior: float = 300.0, discount: float = 0.5, rare: float = 1e-6):
+    def __init__(self, tokens: int, kinds: int, prior: float = 300.0, discount: float = 0.5, rare: float = 2e-5):
         self.tokens, self.kinds, self.prior, self.discount, self.rare = tokens, kinds, prior, discount, rare
 
     def classes(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -65,27 +106,47 @@ class Model:
         return before
 
 
+def _blocks(batch):
+    """The blocks of a batch: ids of its rows, held, lens, token ids, word hashes, counts and whether a count is this block's to pass on."""
+    for docs, held, lens, ids, hashes, counts in zip(*(batch.column(n).to_pylist() for n in ("doc_ids", "held", "lens", "ids", "hashes", "counts")), strict=True):
+        c = expand(counts, "<i8")
+        yield docs, np.asarray(held, dtype=bool), np.asarray(lens, dtype=np.int64), expand(ids, "<u4"), np.frombuffer(hashes, "<u8"), np.abs(c), c > 0
+
+
 def _grams(model: Model):
-    """(segment, gram, count) of the training rows of each block: words, contexts and bigrams."""
+    """(segment, grams, counts) of the training rows: words, contexts and bigrams, summed up over what a task holds."""
 
     def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged():
+            gram, n = np.concatenate([g for g, _ in held]), np.concatenate([n for _, n in held])
+            gram, at = np.unique(gram, return_inverse=True)
+            return gram, np.bincount(at, weights=n).astype("<i8")
+
+        def out(gram, n):
+            cuts = np.searchsorted(gram >> SEGMENT_SHIFT, np.arange(SEGMENTS + 1, dtype=np.uint64))
+            rows = [(s, gram[a:b].tobytes(), squeeze(n[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["segment", "grams", "counts"])
+
         for batch in batches:
-            for held, lens, ids, hashes, counts in zip(*(batch.column(n).to_pylist() for n in ("held", "lens", "ids", "hashes", "counts")), strict=True):
-                lens = np.asarray(lens, dtype=np.int64)
-                h, c, ids = np.frombuffer(hashes, "<u8"), np.frombuffer(counts, "<i8"), np.frombuffer(ids, "<i4")
+            for _, held_out, lens, ids, h, c, own in _blocks(batch):
                 classes = model.classes(h, c)
-                train = ~np.repeat(np.asarray(held, dtype=bool), lens)
-                ids_ = ids[train]
-                before, now = model.contexts(classes[ids], lens)[train], classes[ids_]
+                train = ~np.repeat(held_out, lens)
+                before, now = model.contexts(classes[ids], lens)[train], classes[ids[train]]
                 with np.errstate(over="ignore"):
                     pairs = mix(before * BIGRAM + now)
-                found = [np.unique(x, return_counts=True) for x in (pairs, mix(before ^ CONTEXT))]
-                words = np.bincount(ids_, minlength=len(h))
-                gram = np.concatenate([found[0][0], found[1][0], mix(h[words > 0])])
-                n = np.concatenate([found[0][1], found[1][1], words[words > 0]])
-                for s in range(0, len(gram), 500_000):
-                    part = gram[s : s + 500_000]
-                    yield pa.RecordBatch.from_arrays([pa.array((part >> np.uint64(56)).astype(np.int32)), pa.array(part.view(np.int64)), pa.array(n[s : s + 500_000], pa.int64())], names=["segment", "gram", "n"])
+                held += [np.unique(x, return_counts=True) for x in (pairs, mix(before ^ CONTEXT))]
+                held.append((mix(h[own]), c[own]))
+                if sum(len(g) for g, _ in held) > 3_000_000:
+                    gram, n = merged()
+                    if len(gram) > 2_000_000:
+                        yield out(gram, n)
+                        held = []
+                    else:
+                        held = [(gram, n)]
+        if held and len((last := merged())[0]):
+            yield out(*last)
 
     return run
 
@@ -103,22 +164,17 @@ def quantise(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) + 1
 
 
-def _segments(bits: int):
-    """Bits of each segment: an n-gram of level q is in it once for each level up to q."""
+def _segment(bits: int):
+    """Bits of a segment: an n-gram of level q is in it once for each level up to q."""
 
-    def run(batches):
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            segment, gram, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            gram, level = gram.view(np.uint64), quantise(n)
-            for s in np.unique(segment).tolist():
-                at = held.setdefault(s, np.zeros(bits, dtype=bool))
-                mine = segment == s
-                g, q = gram[mine], level[mine]
-                for j in range(1, int(q.max()) + 1):
-                    at[places(g[q >= j], j, bits).ravel().astype(np.int64)] = True
-        for s, at in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(at, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
+    def run(_, rows):
+        gram = np.concatenate([np.frombuffer(x, "<u8") for x in rows.column("grams").to_pylist()])
+        gram, at = np.unique(gram, return_inverse=True)
+        level = quantise(np.bincount(at, weights=np.concatenate([expand(x, "<i8") for x in rows.column("counts").to_pylist()])))
+        there = np.zeros(bits, dtype=bool)
+        for j in range(1, int(level.max()) + 1):
+            there[places(gram[level >= j], j, bits).ravel().astype(np.int64)] = True
+        return pa.table({"segment": rows.column("segment").slice(0, 1), "bits": pa.array([np.packbits(there, bitorder="little").tobytes()], pa.binary())})
 
     return run
 
@@ -131,7 +187,7 @@ class LogFrequencyBloom:
 
     def counts(self, gram: np.ndarray) -> np.ndarray:
         level = np.zeros(len(gram), dtype=np.int64)
-        base = (gram >> np.uint64(56)).astype(np.int64) * (self.bits // 8)
+        base = (gram >> SEGMENT_SHIFT).astype(np.int64) * (self.bits // 8)
         live, j = np.arange(len(gram)), 1
         while len(live):
             at = places(gram[live], j, self.bits).astype(np.int64)
@@ -166,14 +222,19 @@ def log_probabilities(model: Model, bloom: LogFrequencyBloom, hashes, counts, id
     return np.log10(p)
 
 
+def _totals(batches):
+    """N and V: the counts that each block passes on, and how many are above 0."""
+    for batch in batches:
+        c = np.concatenate([expand(x, "<i8") for x in batch.column("counts").to_pylist()] or [np.zeros(0, dtype="<i8")])
+        yield pa.RecordBatch.from_arrays([pa.array([int(c[c > 0].sum())]), pa.array([int((c > 0).sum())])], names=["n", "v"])
+
+
 def _score(model: Model, shared):
     def run(batches):
         bloom = LogFrequencyBloom(*shared.value)
         n, v = model.tokens, model.kinds
         for batch in batches:
-            for docs, held, lens, ids, hashes, counts in zip(*(batch.column(c).to_pylist() for c in ("doc_ids", "held", "lens", "ids", "hashes", "counts")), strict=True):
-                lens = np.asarray(lens, dtype=np.int64)
-                h, c, ids = np.frombuffer(hashes, "<u8"), np.frombuffer(counts, "<i8"), np.frombuffer(ids, "<i4")
+            for docs, held, lens, ids, h, c, _ in _blocks(batch):
                 row = np.repeat(np.arange(len(lens)), lens)
                 base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
                 total = lambda x: np.bincount(row, weights=x, minlength=len(lens))  # noqa: E731, B023
@@ -193,7 +254,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a bigram model whose counts sit in a log-frequency Bloom filter (Talbot and
     Osborne 2007): words, contexts and bigrams go in once for each level up to
     1 + floor(log2(count)), and are read by probing level after level. Bigrams
-    are of words of a relative frequency of 1e-6 at least and one class for all
+    are of words of a relative frequency of 2e-5 at least and one class for all
     others, so their number follows the vocabulary in use.
 
     The filter has 4 to 8 bits for each training token, up to ``max_bits``
@@ -210,17 +271,19 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held"))
     blocks = materialise(rows.mapInArrow(_tokenise, BLOCK), "lm")
     met = blocks.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("at", "w")).select("block", "at", F.col("w.words").alias("word"), F.col("w.train").alias("n"))
-    vocabulary = materialise(met.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
-    total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    # a word has one row for each block at most, so none is hot; one exchange brings its rows together
+    own, first = Window.partitionBy("word"), Window.partitionBy("word").orderBy("block")
+    found = met.select("block", "at", F.xxhash64("word").alias("h"), F.sum("n").over(own).alias("c"), (F.row_number().over(first) == 1).alias("first"))
+    found = materialise(found.mapInArrow(_gather, "block long, at binary, h binary, c binary"), "lm-found", "uncompressed")
+    counted = blocks.drop("words", "train").groupBy("block").cogroup(found.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(_counted, COUNTED)
+    counted = materialise(counted, "lm-counted")
+    total = counted.mapInArrow(_totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    release(blocks, found)
     model = Model(int(total.n), int(total.v))
-    found = met.join(vocabulary, "word").select("block", "at", "c")
-    counted = materialise(blocks.select("block", "doc_ids", "held", "lens", "ids", "hashes").groupBy("block").cogroup(found.select(F.col("block").alias("of"), "at", "c").groupBy("of")).applyInArrow(_counted, COUNTED), "lm-counted")
-    release(blocks, vocabulary)
     bits = 1 << max(10, int(np.ceil(np.log2(max(1, min(max_bits, 4 * model.tokens) / SEGMENTS)))))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    grams = counted.mapInArrow(_grams(model), "segment int, gram long, n long").repartition(min(n, SEGMENTS), "segment").groupBy("segment", "gram").agg(F.sum("n").alias("n"))
+    grams = counted.mapInArrow(_grams(model), "segment int, grams binary, counts binary").groupBy("segment").applyInArrow(_segment(bits), "segment int, bits binary")
     data = np.zeros(SEGMENTS * bits // 8, dtype=np.uint8)
-    for r in grams.mapInArrow(_segments(bits), "segment int, bits binary").toLocalIterator():
+    for r in grams.toLocalIterator():
         data[r.segment * (bits // 8) : (r.segment + 1) * (bits // 8)] = np.frombuffer(r.bits, dtype=np.uint8)
     shared = spark.sparkContext.broadcast((data, bits))
     return counted.mapInArrow(_score(model, shared), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
