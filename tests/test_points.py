@@ -71,7 +71,7 @@ def test_metadata_and_validation(spark):
     with pytest.raises(ValueError):
         validate(df.select("x", "y"))
     with pytest.raises(TypeError):
-        validate(df.withColumn("z", F.lit("a")))
+        validate(spark.createDataFrame([(1.0, 2.0, "a")], "x double, y double, z string"))
 
 
 def test_empty_bounds_are_null(spark):
