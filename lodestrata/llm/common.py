@@ -7,6 +7,7 @@ a reread and not the job.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -33,10 +34,23 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/lodestrata/{tag}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "4m"):
+    """Arrow batches of so many bytes at most: their buffers come on top of an executor's heap."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: this cuts the lineage."""
     path = shared_path(df.sparkSession, tag)
-    df.write.option("compression", codec).parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lodestrata_path = path
     return out

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_path
+from .common import materialise, shared_path, slices
 
 INDEX = "page_id long, url string, record_type string, refers_to long, digest string, file string, offset long, length long"
 DATE = "2024-01-01T00:00:00Z"
@@ -56,7 +56,7 @@ def _writer(folder: str, roll: int):
         task = TaskContext.get()
         out, name, number, offset = None, "", 0, 0
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-        for batch in batches:
+        for batch in slices(batches, 2, 2 << 20):
             rows = []
             for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 payload = (html or "").encode()
