@@ -18,6 +18,12 @@ END_OF_TEXT = "<|endoftext|>"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
 
 
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(maxsize=2)
 def encoder(json_path: str, ranks_path: str, pattern: str):
     """Text to ids as the tokenizer file defines them.
@@ -27,9 +33,8 @@ def encoder(json_path: str, ranks_path: str, pattern: str):
     refuses, go through the tokenizer file itself.
     """
     import tiktoken
-    from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(json_path)
+    exact = lru_cache(maxsize=1)(lambda: _tokenizer(json_path))  # most tasks never need it
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -40,7 +45,7 @@ def encoder(json_path: str, ranks_path: str, pattern: str):
                 return fast.encode_ordinary(text)
             except Exception:  # noqa: BLE001  the pattern's engine gives up on some very long runs
                 pass
-        return exact.encode(text, add_special_tokens=False).ids
+        return exact().encode(text, add_special_tokens=False).ids
 
     return encode
 
@@ -49,7 +54,7 @@ def _tokenise(paths: tuple[str, str, str], end_id: int, chunk_tokens: int):
     def run(batches):
         encode, task = encoder(*paths), TaskContext.get().partitionId()
         chunk, held = 0, 0
-        for batch in slices(batches, 1, 4 << 20):
+        for batch in slices(batches, 1, 2 << 20):
             ids, blobs, counts, chunks = batch.column(0), [], [], []
             for text in batch.column(1).to_pylist():
                 tokens = np.asarray(encode(text or "") + [end_id], dtype=np.uint32)
@@ -156,7 +161,7 @@ def default_paths() -> tuple[str, str, str]:
     return P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source", weights: dict | None = None, window: int = 1024, quantum: int = 64, end_id: int = 0, chunk_tokens: int = 4_000_000, tokenizer: tuple[str, str, str] | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source", weights: dict | None = None, window: int = 1024, quantum: int = 64, end_id: int = 0, chunk_tokens: int = 1_000_000, tokenizer: tuple[str, str, str] | None = None) -> DataFrame:
     """Cut documents into pieces and place them in sequences of at most ``window`` tokens.
 
     ``weights`` maps a queue's name to its target share; without it the target
