@@ -78,8 +78,10 @@ def deficit_round_robin(sizes: list[int], supply: list[int], shares: list[float]
 
     Every window adds each waiting queue's share of it to that queue's deficit.
     A queue is served once its deficit reaches ``quantum`` (or all it has left),
-    so that short shares wait and come in usable runs; what room is left goes to
-    the largest deficits. Deficits run on from window to window.
+    so that short shares wait and come in usable runs, and takes twice its share
+    of a window at most, so that an old debt is paid over many windows and
+    leaves each of them mixed; what room is left goes to the queues with the
+    most left for their share. Deficits run on from window to window.
     """
     left, deficit, runs = list(supply), list(carried), []
     active = [q for q, n in enumerate(left) if n]
@@ -91,14 +93,14 @@ def deficit_round_robin(sizes: list[int], supply: list[int], shares: list[float]
         room, offset, taken = size, 0, {}
         for q in active:
             if deficit[q] >= min(quantum, left[q]):
-                n = min(left[q], int(deficit[q]), room)
+                n = min(left[q], int(deficit[q]), room, max(quantum, int(2 * size * shares[q] / total)))
                 if n > 0:
                     taken[q] = n
                     room -= n
                     if not room:
                         break
         if room:
-            for q in sorted(active, key=lambda q: (taken.get(q, 0) - deficit[q], q)):
+            for q in sorted(active, key=lambda q: ((taken.get(q, 0) - left[q]) / (shares[q] or 1e-12), q)):
                 n = min(left[q] - taken.get(q, 0), room)
                 if n > 0:
                     taken[q] = taken.get(q, 0) + n
@@ -161,7 +163,7 @@ def default_paths() -> tuple[str, str, str]:
     return P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source", weights: dict | None = None, window: int = 1024, quantum: int = 64, end_id: int = 0, chunk_tokens: int = 1_000_000, tokenizer: tuple[str, str, str] | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source", weights: dict | None = None, window: int = 1024, quantum: int = 64, end_id: int = 0, chunk_tokens: int = 12_000_000, tokenizer: tuple[str, str, str] | None = None) -> DataFrame:
     """Cut documents into pieces and place them in sequences of at most ``window`` tokens.
 
     ``weights`` maps a queue's name to its target share; without it the target

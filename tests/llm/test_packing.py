@@ -86,5 +86,6 @@ def test_weights_and_empty(spark):
 
 def test_round_robin_carries_deficits():
     runs = packing.deficit_round_robin([100] * 4, [100, 300], [0.25, 0.75], [50.0, -50.0], 10)
-    assert runs[0] == (0, 0, 0, 75) and runs[1] == (0, 75, 1, 25)
+    assert runs[:2] == [(0, 0, 0, 50), (0, 50, 1, 50)]  # twice its share, not the whole debt at once
+    assert runs[2:4] == [(1, 0, 0, 50), (1, 50, 1, 50)]
     assert sum(n for _, _, q, n in runs if q == 0) == 100 and sum(n for *_, n in runs) == 400
