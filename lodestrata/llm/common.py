@@ -76,6 +76,7 @@ def slices(batches, column: int, max_bytes: int = 8 << 20):
             stop = max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+            pa.default_memory_pool().release_unused()  # idle workers' memory counts too
 
 
 def ascii_words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:

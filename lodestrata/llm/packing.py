@@ -163,7 +163,7 @@ def default_paths() -> tuple[str, str, str]:
     return P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source", weights: dict | None = None, window: int = 1024, quantum: int = 64, end_id: int = 0, chunk_tokens: int = 12_000_000, tokenizer: tuple[str, str, str] | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source", weights: dict | None = None, window: int = 1024, quantum: int = 64, end_id: int = 0, chunk_tokens: int = 8_000_000, tokenizer: tuple[str, str, str] | None = None) -> DataFrame:
     """Cut documents into pieces and place them in sequences of at most ``window`` tokens.
 
     ``weights`` maps a queue's name to its target share; without it the target

@@ -82,7 +82,7 @@ def prob_minhash(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n_row
 
 
 def _sign(batches):
-    for batch in slices(batches, 1, 6 << 20):
+    for batch in slices(batches, 1, 3 << 20):
         row, element, count, keys = shingles(batch.column(1))
         n = batch.num_rows
         size = np.bincount(row, minlength=n)
@@ -100,7 +100,7 @@ def _sign(batches):
 
 
 def _sets(batches):
-    for batch in slices(batches, 1, 4 << 20):
+    for batch in slices(batches, 1, 3 << 20):
         row, element, _, _ = shingles(batch.column(1))
         ends = np.searchsorted(row, np.arange(batch.num_rows), "right")
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([element[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], pa.binary())], names=["doc_id", "shingles"])
