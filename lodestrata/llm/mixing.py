@@ -75,6 +75,14 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return _share(l3, ["domain", "lang"], "source", "s3", "w3", "b2", "budget").select("domain", "lang", "source", "tokens", "budget")
 
 
+def _passing(parts: DataFrame, leaf: list[str], before: Column) -> DataFrame:
+    """Of each leaf's ``_bucket`` parts in order, the first by which its running tokens pass ``_rest``, and the tokens ahead of it."""
+    running = Window.partitionBy(*leaf).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ended = parts.withColumn("_end", before + F.sum("_n").over(running)).where("_end > _rest")
+    first = ended.groupBy(*leaf).agg(F.min(F.struct("_bucket", (F.col("_end") - F.col("_n")).alias("_ahead"))).alias("_c"))
+    return first.selectExpr(*leaf, "_c._bucket as _cut", "_c._ahead as _before")
+
+
 def mix_sources(docs: DataFrame, mix: Mix = Mix(), domain: Column | None = None) -> DataFrame:
     """Select documents so that each leaf of the domain-language-source tree meets its token budget.
 
@@ -83,8 +91,8 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), domain: Column | None = None)
     documents again, up to ``max_epochs`` times). Of a leaf's last epoch the
     rows are taken whose running tokens, in the order of
     md5(seed|epoch|doc_id), stay within the budget: a prefix. Running sums go
-    over 4,096 hash buckets first, so only the one bucket of a leaf that holds
-    the cut is sorted, whatever the leaf's size.
+    over 256 hash ranges of a leaf first, then over the 256 buckets of the range
+    that holds the cut, so that only one of 65,536 buckets is sorted by rows.
 
     Null languages, sources and ids are values of their own; a null text has no
     tokens and comes with its epoch if the prefix reaches it; repeated rows
@@ -100,13 +108,15 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), domain: Column | None = None)
     held = lambda df: F.broadcast(df) if small else df
     on = lambda a, b: [F.col(f"{a}.{x}").eqNullSafe(F.col(f"{b}.{y}")) for x, y in (("mix_domain", "_d"), ("lang", "_l"), ("source", "_s"))]
     digest = F.md5(F.concat_ws("|", F.lit(str(mix.seed)), F.col("_full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    keyed = rows.alias("r").join(held(plan).alias("p"), on("r", "p")).select("r.*", "p.*").withColumn("_key", digest).withColumn("_bucket", F.substring("_key", 1, 3))
+    keyed = rows.alias("r").join(held(plan).alias("p"), on("r", "p")).select("r.*", "p.*").withColumn("_key", digest).withColumn("_bucket", F.substring("_key", 1, 4))
     leaf = ["_d", "_l", "_s"]
-    sums = keyed.groupBy(*leaf, "_rest", "_bucket").agg(F.sum("mix_tokens").alias("_n"))
-    running = Window.partitionBy(*leaf).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = sums.withColumn("_end", F.sum("_n").over(running)).where("_end > _rest").groupBy(*leaf).agg(F.min(F.struct("_bucket", (F.col("_end") - F.col("_n")).alias("_before"))).alias("_c"))
-    cut = materialise(cut.selectExpr(*leaf, "_c._bucket as _cut", "_c._before as _before"), "mix-cut")
-    both = keyed.alias("k").join(held(cut).alias("c"), [F.col(f"k.{x}").eqNullSafe(F.col(f"c.{x}")) for x in leaf], "left").select("k.*", "c._cut", "c._before")
+    same = lambda a, b: [F.col(f"{a}.{x}").eqNullSafe(F.col(f"{b}.{x}")) for x in leaf]
+    sums = materialise(keyed.groupBy(*leaf, "_rest", "_bucket").agg(F.sum("mix_tokens").alias("_n")), "mix-sums")
+    coarse = F.substring("_bucket", 1, 2)
+    span = _passing(sums.groupBy(*leaf, "_rest", coarse.alias("_bucket")).agg(F.sum("_n").alias("_n")), leaf, F.lit(0))
+    inside = sums.alias("k").join(held(span).alias("c"), [*same("k", "c"), coarse == F.col("c._cut")]).select("k.*", "c._before")
+    cut = materialise(_passing(inside, leaf, F.col("_before")), "mix-cut")
+    both = keyed.alias("k").join(held(cut).alias("c"), same("k", "c"), "left").select("k.*", "c._cut", "c._before")
     within = Window.partitionBy(*leaf).orderBy("_key", "mix_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = both.where("_bucket = _cut").withColumn("_end", F.col("_before") + F.sum("mix_tokens").over(within)).where("_end <= _rest").drop("_end")
     whole = both.where("_cut is null or _bucket < _cut")
