@@ -191,7 +191,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", queue_
         for name, x in weights.items():
             w = F.when(F.col("queue").eqNullSafe(F.lit(name)), F.lit(float(x))).otherwise(w)
         share = share.select("queue", w.alias("share"))
-    share = share.crossJoin(share.agg(F.sum("share").alias("whole"))).select("queue", (F.col("share") / F.greatest("whole", F.lit(1e-300))).alias("share"))
+    whole = max(share.agg(F.sum("share").alias("whole")).first().whole or 0.0, 1e-300)
+    share = share.select("queue", (F.col("share") / F.lit(whole)).alias("share"))
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     totals = counts.groupBy("chunk").agg(F.sum("n").alias("total"))
     sequences = F.expr(f"total div {window} + bit_count(total % {window})")
