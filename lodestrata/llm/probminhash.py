@@ -83,10 +83,11 @@ def prob_minhash(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n_row
 
 def _sign(batches):
     for batch in slices(batches, 1, 3 << 20):
-        row, element, count, keys = shingles(batch.column(1))
+        row, element, _, keys = shingles(batch.column(1))
         n = batch.num_rows
         size = np.bincount(row, minlength=n)
-        winner = mix(prob_minhash(row, element, count, n))
+        # at one weight for all, probability Jaccard is the distinct sets' Jaccard, which is what gets verified
+        winner = mix(prob_minhash(row, element, np.ones(len(row)), n))
         bands = np.zeros((n, BANDS), dtype=np.uint64)
         with np.errstate(over="ignore"):
             for j in range(ROWS):
@@ -216,7 +217,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     punctuation at their edges.
 
     Equal word sequences collapse to the smallest id. Signatures of 125
-    registers (shingles weighted by their counts) give 25 bands of 5. Each
+    registers give 25 bands of 5. Each distinct shingle has the same weight:
+    weights by counts estimate another similarity than the one verified, and
+    miss texts that repeat the same lines unequally often. Each
     bucket first proposes a star around its smallest id, which the distinct
     shingle sets verify exactly. Buckets that still hold several components go
     on: first each row's two best agreeing partners in other components, then,

@@ -69,6 +69,15 @@ def test_chains_large_groups_nulls(spark):
     assert len(null) == 1 and null[0].kept and null[0].class_id is None
 
 
+def test_lines_repeated_unequally_often(spark):
+    rows = []
+    for i in range(40):
+        body, line = (" ".join(f"{c}{i}w{k}" for k in range(n)) for c, n in (("b", 100), ("l", 12)))
+        rows += [(2 * i, " ".join([body] + [line] * 3)), (2 * i + 1, " ".join([body] + [line] * 30))]
+    got = classes(pmh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == {i: i - i % 2 for i in range(80)} == brute(rows)
+
+
 def test_registers_estimate_probability_jaccard():
     a, b = {i: 1 + i % 3 for i in range(300)}, {i: 1 + i % 3 for i in range(60, 360)}
     row = np.repeat([0, 1], [300, 300])
