@@ -14,7 +14,7 @@ SEGMENTS, PROBES, MAX_BITS = 1024, 4, 1 << 30
 SEGMENT_SHIFT = np.uint64(64 - 10)
 END = ""  # the end token: no word is empty
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-BIGRAM, CONTEXT, RARE, START = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
+BIGRAM, CONTEXT, START = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F))
 BLOCK = "block long, doc_ids array<long>, held array<boolean>, lens array<int>, ids binary, words array<string>, train array<long>"
 COUNTED = "block long, doc_ids array<long>, held array<boolean>, lens array<int>, ids binary, hashes binary, counts binary"
 
@@ -91,17 +91,13 @@ def _counted(key, block, counts):
 class Model:
     """Hashes of n-grams and the smoothing; all counts but N and V come from the filter."""
 
-    def __init__(self, tokens: int, kinds: int, prior: float = 300.0, discount: float = 0.5, rare: float = 2e-5):
-        self.tokens, self.kinds, self.prior, self.discount, self.rare = tokens, kinds, prior, discount, rare
-
-    def classes(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Words below the relative frequency ``rare`` share one class as contexts and within bigrams."""
-        return np.where(counts >= max(2, self.rare * self.tokens), hashes, RARE)
+    def __init__(self, tokens: int, kinds: int, prior: float = 300.0, discount: float = 0.5):
+        self.tokens, self.kinds, self.prior, self.discount = tokens, kinds, prior, discount
 
     @staticmethod
-    def contexts(classes: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        before = np.empty_like(classes)
-        before[1:] = classes[:-1]
+    def contexts(words: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        before = np.empty_like(words)
+        before[1:] = words[:-1]
         before[np.cumsum(lens) - lens] = START
         return before
 
@@ -131,9 +127,8 @@ def _grams(model: Model):
 
         for batch in batches:
             for _, held_out, lens, ids, h, c, own in _blocks(batch):
-                classes = model.classes(h, c)
                 train = ~np.repeat(held_out, lens)
-                before, now = model.contexts(classes[ids], lens)[train], classes[ids[train]]
+                before, now = model.contexts(h[ids], lens)[train], h[ids[train]]
                 with np.errstate(over="ignore"):
                     pairs = mix(before * BIGRAM + now)
                 held += [np.unique(x, return_counts=True) for x in (pairs, mix(before ^ CONTEXT))]
@@ -205,20 +200,16 @@ def log_probabilities(model: Model, bloom: LogFrequencyBloom, hashes, counts, id
     """log10 probability of each token: bigram counts smoothed towards the word's discounted frequency."""
     if not model.tokens:
         return np.zeros(len(ids))
-    classes = model.classes(hashes, counts)
     known = bloom.counts(mix(hashes))
     known[counts == 0] = 0
     single = np.where(known > 0, np.maximum(known - model.discount, 0.1), model.discount * max(1, model.kinds)) / model.tokens
     single = np.minimum(single, 1.0)
-    rare = max(model.discount * max(1, model.kinds) / model.tokens, 1e-12)
-    before, now = model.contexts(classes[ids], lens), classes[ids]
+    before, now = model.contexts(hashes[ids], lens), hashes[ids]
     with np.errstate(over="ignore"):
         pairs, at = np.unique(mix(before * BIGRAM + now), return_inverse=True)
         contexts, of = np.unique(mix(before ^ CONTEXT), return_inverse=True)
     seen, total = bloom.counts(pairs)[at], bloom.counts(contexts)[of]
-    # within the class of rare words a bigram's count is shared as the words' own frequencies are
-    within = np.where(now == RARE, np.minimum(1.0, single[ids] / max(rare, float(single[classes == RARE].max(initial=0)), 1e-12)), 1.0)
-    p = (np.minimum(seen, total) * within + model.prior * single[ids]) / (total + model.prior)
+    p = (np.minimum(seen, total) + model.prior * single[ids]) / (total + model.prior)
     return np.log10(p)
 
 
@@ -253,9 +244,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     block of texts by its distinct words. ``score`` is the log10 probability by
     a bigram model whose counts sit in a log-frequency Bloom filter (Talbot and
     Osborne 2007): words, contexts and bigrams go in once for each level up to
-    1 + floor(log2(count)), and are read by probing level after level. Bigrams
-    are of words of a relative frequency of 2e-5 at least and one class for all
-    others, so their number follows the vocabulary in use.
+    1 + floor(log2(count)), and are read by probing level after level. Every
+    word and every bigram of the training rows goes in as itself.
 
     The filter has 4 to 8 bits for each training token, up to ``max_bits``
     (2**30: 128 MB, the bound of what is broadcast; beyond it, at 270 million

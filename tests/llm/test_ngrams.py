@@ -61,3 +61,14 @@ def test_filter_gives_quantised_counts():
     assert (got >= want - 1e-9).all() and (np.abs(got - want) < 1e-9).mean() > 0.9
     assert (ngrams.expand(ngrams.squeeze(n.astype('<i8')), '<i8') == n).all()
     assert (ngrams.LogFrequencyBloom(data, bits).counts(rng.integers(0, 2**63, 5000, dtype=np.uint64)) > 0).mean() < 0.1
+
+
+def test_rare_bigrams_are_kept_apart(spark):
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 10]
+    held = next(i for i in range(2000) if not zlib.crc32(str(i).encode()) % 10)
+    other = next(i for i in range(held + 1, 2000) if not zlib.crc32(str(i).encode()) % 10)
+    # four rare words, each three times in 600,000 tokens, in two pairs
+    rows = [(i, "filler " * 600 + {0: "pale quince", 1: "dim ostrich"}.get(k // 3, "")) for k, i in enumerate(ids[:1000])]
+    rows += [(held, "pale quince dim ostrich " * 5), (other, "pale ostrich dim quince " * 5)]
+    score = {r.doc_id: r.score for r in ngrams.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert score[held] > score[other] + 0.01
