@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_words, materialise, mix, release, slices
 
-SEGMENTS, PROBES, MAX_BITS = 1024, 4, 1 << 30
+SEGMENTS, PROBES, BITS_EACH = 1024, 4, 8
+SEGMENT_TOKENS = 1 << 22
 SEGMENT_SHIFT = np.uint64(64 - 10)
 END = ""  # the end token: no word is empty
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -89,7 +90,7 @@ def _counted(key, block, counts):
 
 
 class Model:
-    """Hashes of n-grams and the smoothing; all counts but N and V come from the filter."""
+    """Hashes of n-grams and the smoothing; counts of bigrams and contexts come from the filter."""
 
     def __init__(self, tokens: int, kinds: int, prior: float = 300.0, discount: float = 0.5):
         self.tokens, self.kinds, self.prior, self.discount = tokens, kinds, prior, discount
@@ -109,39 +110,30 @@ def _blocks(batch):
         yield docs, np.asarray(held, dtype=bool), np.asarray(lens, dtype=np.int64), expand(ids, "<u4"), np.frombuffer(hashes, "<u8"), np.abs(c), c > 0
 
 
-def _grams(model: Model):
-    """(segment, grams, counts) of the training rows: words, contexts and bigrams, summed up over what a task holds."""
-
-    def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+def _of_block(model: Model, h, ids, lens):
+    """The n-grams of each token's bigram and context."""
+    before, now = model.contexts(h[ids], lens), h[ids]
+    with np.errstate(over="ignore"):
+        return mix(before * BIGRAM + now), mix(before ^ CONTEXT)
 
-        def merged():
-            gram, n = np.concatenate([g for g, _ in held]), np.concatenate([n for _, n in held])
-            gram, at = np.unique(gram, return_inverse=True)
-            return gram, np.bincount(at, weights=n).astype("<i8")
 
-        def out(gram, n):
-            cuts = np.searchsorted(gram >> SEGMENT_SHIFT, np.arange(SEGMENTS + 1, dtype=np.uint64))
-            rows = [(s, gram[a:b].tobytes(), squeeze(n[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["segment", "grams", "counts"])
+def _ask(model: Model, segments: int):
+    """A block's distinct n-grams in order, cut by segment, and how often its training rows have each."""
+    shift = np.uint64(65 - segments.bit_length())
 
+    def run(batches):
         for batch in batches:
-            for _, held_out, lens, ids, h, c, own in _blocks(batch):
-                train = ~np.repeat(held_out, lens)
-                before, now = model.contexts(h[ids], lens)[train], h[ids[train]]
-                with np.errstate(over="ignore"):
-                    pairs = mix(before * BIGRAM + now)
-                held += [np.unique(x, return_counts=True) for x in (pairs, mix(before ^ CONTEXT))]
-                held.append((mix(h[own]), c[own]))
-                if sum(len(g) for g, _ in held) > 3_000_000:
-                    gram, n = merged()
-                    if len(gram) > 2_000_000:
-                        yield out(gram, n)
-                        held = []
-                    else:
-                        held = [(gram, n)]
-        if held and len((last := merged())[0]):
-            yield out(*last)
+            for block, (_, held, lens, ids, h, _, _) in zip(batch.column("block").to_pylist(), _blocks(batch), strict=True):
+                grams = np.concatenate(_of_block(model, h, ids, lens))
+                train = (~np.repeat(held, lens)).astype(np.float64)
+                gram, at = np.unique(grams, return_inverse=True)
+                n = np.bincount(at, weights=np.concatenate([train, train])).astype("<i8")
+                cuts = np.searchsorted(gram >> shift, np.arange(segments + 1, dtype=np.uint64))
+                rows = [(s, block, squeeze(np.diff(gram[a:b], prepend=np.uint64(0))), squeeze(n[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["segment", "block", "grams", "counts"])
+                pa.default_memory_pool().release_unused()
 
     return run
 
@@ -159,30 +151,54 @@ def quantise(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) + 1
 
 
-def _segment(bits: int):
+def fill(gram: np.ndarray, level: np.ndarray, bits: int) -> np.ndarray:
     """Bits of a segment: an n-gram of level q is in it once for each level up to q."""
+    there = np.zeros(bits, dtype=bool)
+    for j in range(1, int(level.max(initial=0)) + 1):
+        there[places(gram[level >= j], j, bits).ravel().astype(np.int64)] = True
+    return np.packbits(there, bitorder="little")
+
+
+def _segment(bits: int):
+    """A segment's bits from (grams, counts) rows."""
 
     def run(_, rows):
         gram = np.concatenate([np.frombuffer(x, "<u8") for x in rows.column("grams").to_pylist()])
         gram, at = np.unique(gram, return_inverse=True)
         level = quantise(np.bincount(at, weights=np.concatenate([expand(x, "<i8") for x in rows.column("counts").to_pylist()])))
-        there = np.zeros(bits, dtype=bool)
-        for j in range(1, int(level.max()) + 1):
-            there[places(gram[level >= j], j, bits).ravel().astype(np.int64)] = True
-        return pa.table({"segment": rows.column("segment").slice(0, 1), "bits": pa.array([np.packbits(there, bitorder="little").tobytes()], pa.binary())})
+        return pa.table({"segment": rows.column("segment").slice(0, 1), "bits": pa.array([fill(gram, level, bits).tobytes()], pa.binary())})
 
     return run
 
 
+def bits_for(entries: int) -> int:
+    """Bits of a segment of so many entries: 8 to 16 for each, at every size of the input."""
+    return 1 << max(10, int(np.ceil(np.log2(max(1, BITS_EACH * entries)))))
+
+
+def _answer(_, rows):
+    """Fills a segment of the filter and reads it for every block that asks: the levels of the block's n-grams, in their order."""
+    asked = [np.cumsum(expand(x, "<u8"), dtype=np.uint64) for x in rows.column("grams").to_pylist()]
+    gram, at = np.unique(np.concatenate(asked), return_inverse=True)
+    n = np.bincount(at, weights=np.concatenate([expand(x, "<i8") for x in rows.column("counts").to_pylist()]))
+    level = np.where(n > 0, quantise(n), 0)
+    bits = bits_for(int(level.sum()))
+    read = LogFrequencyBloom(fill(gram, level, bits), bits).levels(gram).astype(np.uint8)
+    cuts = np.cumsum([0, *map(len, asked)]).tolist()
+    levels = [squeeze(read[at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.table({"block": rows.column("block"), "segment": rows.column("segment"), "levels": pa.array(levels, pa.binary())})
+
+
 class LogFrequencyBloom:
-    """The filter in one piece: ``counts`` probes level after level until one is missing."""
+    """One segment of the filter, or all 1,024 in a row: probes level after level until one is missing."""
 
     def __init__(self, data: np.ndarray, bits: int):
         self.data, self.bits = data, bits
 
-    def counts(self, gram: np.ndarray) -> np.ndarray:
+    def levels(self, gram: np.ndarray) -> np.ndarray:
         level = np.zeros(len(gram), dtype=np.int64)
-        base = (gram >> SEGMENT_SHIFT).astype(np.int64) * (self.bits // 8)
+        one = 8 * len(self.data) == self.bits
+        base = np.zeros(len(gram), dtype=np.int64) if one else (gram >> SEGMENT_SHIFT).astype(np.int64) * (self.bits // 8)
         live, j = np.arange(len(gram)), 1
         while len(live):
             at = places(gram[live], j, self.bits).astype(np.int64)
@@ -192,23 +208,26 @@ class LogFrequencyBloom:
             live = live[there]
             level[live] = j
             j += 1
-        # the middle of a level's counts, evenly spread over their logarithm
-        return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 2.0 ** (level - 1) / np.log(2)))
+        return level
+
+    def counts(self, gram: np.ndarray) -> np.ndarray:
+        return middle(self.levels(gram))
+
 
+def middle(level: np.ndarray) -> np.ndarray:
+    """The middle of a level's counts, evenly spread over their logarithm."""
+    level = level.astype(np.float64)
+    return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 2.0 ** (level - 1) / np.log(2)))
 
-def log_probabilities(model: Model, bloom: LogFrequencyBloom, hashes, counts, ids, lens) -> np.ndarray:
+
+def log_probabilities(model: Model, levels, hashes, counts, ids, lens) -> np.ndarray:
     """log10 probability of each token: bigram counts smoothed towards the word's discounted frequency."""
     if not model.tokens:
         return np.zeros(len(ids))
-    known = bloom.counts(mix(hashes))
-    known[counts == 0] = 0
-    single = np.where(known > 0, np.maximum(known - model.discount, 0.1), model.discount * max(1, model.kinds)) / model.tokens
+    _, at = np.unique(np.concatenate(_of_block(model, hashes, ids, lens)), return_inverse=True)
+    seen, total = np.split(middle(levels)[at], 2)
+    single = np.where(counts > 0, np.maximum(counts - model.discount, 0.1), model.discount * max(1, model.kinds)) / model.tokens
     single = np.minimum(single, 1.0)
-    before, now = model.contexts(hashes[ids], lens), hashes[ids]
-    with np.errstate(over="ignore"):
-        pairs, at = np.unique(mix(before * BIGRAM + now), return_inverse=True)
-        contexts, of = np.unique(mix(before ^ CONTEXT), return_inverse=True)
-    seen, total = bloom.counts(pairs)[at], bloom.counts(contexts)[of]
     p = (np.minimum(seen, total) + model.prior * single[ids]) / (total + model.prior)
     return np.log10(p)
 
@@ -220,22 +239,24 @@ def _totals(batches):
         yield pa.RecordBatch.from_arrays([pa.array([int(c[c > 0].sum())]), pa.array([int((c > 0).sum())])], names=["n", "v"])
 
 
-def _score(model: Model, shared):
-    def run(batches):
-        bloom = LogFrequencyBloom(*shared.value)
-        n, v = model.tokens, model.kinds
-        for batch in batches:
-            for docs, held, lens, ids, h, c, _ in _blocks(batch):
-                row = np.repeat(np.arange(len(lens)), lens)
-                base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-                total = lambda x: np.bincount(row, weights=x, minlength=len(lens))  # noqa: E731, B023
-                columns = [pa.array(docs, pa.int64()), pa.array(held, pa.bool_()), pa.array(lens), pa.array(total(c[ids] > 0).astype(np.int64)), pa.array(np.full(len(lens), n), pa.int64()), pa.array(total(base[ids])), pa.array(total(log_probabilities(model, bloom, h, c, ids, lens)))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+def _score(model: Model):
+    n, v = model.tokens, model.kinds
+
+    def run(_, block, answers):
+        order = np.argsort(answers.column("segment").to_numpy())
+        pieces = answers.column("levels").to_pylist()
+        levels = np.concatenate([np.zeros(0, np.uint8), *(expand(pieces[k], "u1") for k in order.tolist())])
+        ((docs, held, lens, ids, h, c, _),) = _blocks(block)
+        row = np.repeat(np.arange(len(lens)), lens)
+        base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+        total = lambda x: np.bincount(row, weights=x, minlength=len(lens))
+        columns = [pa.array(docs, pa.int64()), pa.array(held, pa.bool_()), pa.array(lens, pa.int64()), pa.array(total(c[ids] > 0).astype(np.int64)), pa.array(np.full(len(lens), n), pa.int64()), pa.array(total(base[ids])), pa.array(total(log_probabilities(model, levels, h, c, ids, lens)))]
+        return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, max_bits: int = MAX_BITS) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
     """Score every whole text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose crc32(doc_id as text) mod ``folds`` is not 0. Words
@@ -243,14 +264,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     end token. ``base_score`` uses exact counts, which a join brings to each
     block of texts by its distinct words. ``score`` is the log10 probability by
     a bigram model whose counts sit in a log-frequency Bloom filter (Talbot and
-    Osborne 2007): words, contexts and bigrams go in once for each level up to
+    Osborne 2007): contexts and bigrams go in once for each level up to
     1 + floor(log2(count)), and are read by probing level after level. Every
-    word and every bigram of the training rows goes in as itself.
+    bigram of the training rows goes in as itself; counts of words are exact.
 
-    The filter has 4 to 8 bits for each training token, up to ``max_bits``
-    (2**30: 128 MB, the bound of what is broadcast; beyond it, at 270 million
-    tokens and more, false positives rise). Counting is pre-aggregated in each
-    block and spread over hash segments, so no word is hot.
+    The filter has 8 to 16 bits for each entry at every size of the input. It is
+    never in one place: a task holds one hash segment, fills it with the counts
+    that all blocks send and reads it for the n-grams that they ask for; the
+    number of segments follows the training tokens. A block sends an n-gram
+    once, so no word is hot.
 
     A null text is empty (its end token only), a null id is held out; repeated
     rows count and come back each; an empty table gives no rows. Further
@@ -270,13 +292,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = counted.mapInArrow(_totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     release(blocks, found)
     model = Model(int(total.n), int(total.v))
-    bits = 1 << max(10, int(np.ceil(np.log2(max(1, min(max_bits, 4 * model.tokens) / SEGMENTS)))))
-    grams = counted.mapInArrow(_grams(model), "segment int, grams binary, counts binary").groupBy("segment").applyInArrow(_segment(bits), "segment int, bits binary")
-    data = np.zeros(SEGMENTS * bits // 8, dtype=np.uint8)
-    for r in grams.toLocalIterator():
-        data[r.segment * (bits // 8) : (r.segment + 1) * (bits // 8)] = np.frombuffer(r.bits, dtype=np.uint8)
-    shared = spark.sparkContext.broadcast((data, bits))
-    return counted.mapInArrow(_score(model, shared), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    segments = max(SEGMENTS, 1 << max(0, model.tokens // SEGMENT_TOKENS).bit_length())
+    asked = counted.mapInArrow(_ask(model, segments), "segment int, block long, grams binary, counts binary")
+    levels = asked.groupBy("segment").applyInArrow(_answer, "block long, segment int, levels binary")
+    scored = counted.groupBy("block").cogroup(levels.withColumnRenamed("block", "of").groupBy("of"))
+    return scored.applyInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op4_lm_score(spark, sf_dir: str) -> DataFrame:

@@ -72,3 +72,17 @@ def test_rare_bigrams_are_kept_apart(spark):
     rows += [(held, "pale quince dim ostrich " * 5), (other, "pale ostrich dim quince " * 5)]
     score = {r.doc_id: r.score for r in ngrams.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert score[held] > score[other] + 0.01
+
+
+def test_false_positives_do_not_rise_with_the_segment():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    for many in (2_000, 1_500_000):
+        gram = np.sort(rng.integers(0, 2**63, many, dtype=np.uint64))
+        n = np.where(np.arange(many) % 2, 1, 0).astype("<i8")  # every second one is asked for only
+        rows = pa.table({"segment": pa.array([7], pa.int32()), "block": pa.array([3]), "grams": pa.array([ngrams.squeeze(np.diff(gram, prepend=np.uint64(0)))], pa.binary()), "counts": pa.array([ngrams.squeeze(n)], pa.binary())})
+        out = ngrams._answer(None, rows)
+        level = ngrams.expand(out.column("levels")[0].as_py(), "u1")
+        assert (level[n > 0] >= 1).all() and (level[n == 0] > 0).mean() < 0.03
+    assert all(8 <= ngrams.bits_for(n) / n <= 16 for n in (1_000, 10**6, 5 * 10**9))
