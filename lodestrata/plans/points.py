@@ -25,12 +25,12 @@ POINTS_SQL = """points AS (
   FROM lineitem)"""
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def points(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """x from the price, y days from 1995, z the quantity, i a hash of the keys in [0, 1)."""
     h = F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729 + F.col("l_suppkey") * 1299709 + F.col("l_linenumber").cast("long") * 15485863
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         (F.col("l_extendedprice") / F.lit(40.0)).alias("x"), F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("double").alias("y"), F.col("l_quantity").alias("z"),
-        ((h % 1000003) / F.lit(1000003.0)).alias("i"), *KEYS,
+        ((h % 1000003) / F.lit(1000003.0)).alias("i"), *KEYS, *more,
     )
 
 
@@ -155,6 +155,18 @@ d AS (SELECT a.p AS pa, b.p AS pb, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.
 SELECT round(sqrt(max(m)), 9) AS hausdorff FROM (SELECT min(d) AS m FROM d GROUP BY pa UNION ALL SELECT min(d) AS m FROM d GROUP BY pb)"""
 
 
+def _hausdorff_whole(s, d):
+    """All points of lineitem: open orders' lines against finished ones."""
+    df = points(s, d, "l_linestatus")
+    return transform.hausdorff(df.where("l_linestatus = 'O'"), df.where("l_linestatus <> 'O'")).select(F.round("hausdorff", 9).alias("hausdorff"))
+
+
+HAUSDORFF_WHOLE_SQL = f"""WITH {POINTS_SQL}, s AS (SELECT points.*, t.l_linestatus FROM points JOIN lineitem t USING ({PKEYS})),
+a AS (SELECT DISTINCT x, y, z FROM s WHERE l_linestatus = 'O'), b AS (SELECT DISTINCT x, y, z FROM s WHERE l_linestatus <> 'O'),
+d AS (SELECT a.x, a.y, a.z, b.x AS u, b.y AS v, b.z AS w, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d FROM a, b)
+SELECT round(sqrt(max(m)), 9) AS hausdorff FROM (SELECT min(d) AS m FROM d GROUP BY x, y, z UNION ALL SELECT min(d) AS m FROM d GROUP BY u, v, w)"""
+
+
 def _merge_concat(s, d):
     df = points(s, d)
     parts = [df.where(F.col("l_orderkey") % 3 == k) for k in range(3)]
@@ -212,7 +224,7 @@ TABLE: dict[str, tuple] = {
     "pc_rotate": (_rotate, f"WITH {POINTS_SQL} SELECT round(x * {_C!r}::DOUBLE + y * {-_S!r}::DOUBLE, 6) AS x, round(x * {_S!r}::DOUBLE + y * {_C!r}::DOUBLE, 6) AS y, round(z, 6) AS z, {PKEYS} FROM points"),
     "pc_raw_roundtrip": (_raw, f"WITH {POINTS_SQL}, r AS (SELECT *, CAST(round((x - 1000.0::DOUBLE) / 0.001::DOUBLE) AS INT) AS x_raw, CAST(round((y - -500.0::DOUBLE) / 0.001::DOUBLE) AS INT) AS y_raw FROM points) SELECT x_raw, y_raw, round(x_raw * 0.001::DOUBLE + 1000.0::DOUBLE, 6) AS x, round(y_raw * 0.001::DOUBLE + -500.0::DOUBLE, 6) AS y, {PKEYS} FROM r"),
     "pc_rescale_16_8": (_colour, f"WITH {POINTS_SQL} SELECT CAST((l_partkey * 131) % 65536 AS INT) AS red, CAST(trunc(CAST((l_partkey * 131) % 65536 AS DOUBLE) / 65535 * 255) AS INT) AS red8, {PKEYS} FROM points WHERE (l_partkey * 131) % 65536 > 0"),
-    "pc_hausdorff": (_hausdorff, HAUSDORFF_SQL),
+    "pc_hausdorff": (_hausdorff, HAUSDORFF_SQL), "pc_hausdorff_whole": (_hausdorff_whole, HAUSDORFF_WHOLE_SQL),
     "pc_merge_concat": (_merge_concat, f"WITH {POINTS_SQL} SELECT x, y, z, i, {PKEYS} FROM points"),
     "pc_cluster_quadtree": (lambda s, d: layout.cluster(points(s, d), "quadtree", 4096).groupBy("level").agg(F.count("*").alias("n_points")).agg(F.sum("n_points").alias("n_points")), f"WITH {POINTS_SQL} SELECT CAST(count(*) AS BIGINT) AS n_points FROM points"),
 }

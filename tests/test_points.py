@@ -1,4 +1,5 @@
 import math
+import random
 
 import duckdb
 import pytest
@@ -172,3 +173,26 @@ def test_registration_finds_the_turn(spark):
     a = spark.createDataFrame(pts, "x double, y double, z double")
     angle = transform.register_rotation(a, transform.rotate_z(a, 1.1), rounds=3)
     assert abs(angle - 1.1) < 0.01
+
+
+def test_hausdorff_of_whole_clouds(spark):
+    rng = random.Random(3)
+    cloud = lambda n, dx: [(rng.random() * 50 + dx, rng.random() * 9, float(rng.randrange(5))) for _ in range(n)]
+    for p, q in ((cloud(900, 0), [*cloud(700, 0), (400.0, -30.0, 2.0)]), (cloud(600, 0), cloud(500, 80)), ([(1.0, 1.0, 1.0)] * 3, cloud(400, 0))):
+        want = max(max(min(math.dist(a, b) for b in there) for a in here) for here, there in ((p, q), (q, p)))
+        a, b = (spark.createDataFrame(c, "x double, y double, z double") for c in (p, q))
+        assert abs(transform.hausdorff(a, b).first().hausdorff - want) < 1e-9
+    assert transform.hausdorff(a, b.limit(0)).first().hausdorff is None
+
+
+def test_hausdorff_query_sees_every_point(spark, sf_dir, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"{sf_dir}/lineitem.parquet")
+    keys = t["l_orderkey"].to_pylist()
+    k = next(k for k, key in enumerate(keys) if key % 40 > 2 and t["l_linestatus"][k].as_py() == "O")  # outside the ids that pc_hausdorff takes
+    far = [x if j != k else 400_000.0 for j, x in enumerate(t["l_extendedprice"].to_pylist())]
+    name = t.schema.get_field_index("l_extendedprice")
+    pq.write_table(t.set_column(name, t.schema.field(name), pa.array(far, t.schema.field(name).type)), tmp_path / "lineitem.parquet")
+    assert pt.QUERIES["pc_hausdorff_whole"](spark, str(tmp_path)).first().hausdorff > 5000
