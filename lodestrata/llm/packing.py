@@ -50,21 +50,21 @@ def encoder(json_path: str, ranks_path: str, pattern: str):
     return encode
 
 
-def _tokenise(paths: tuple[str, str, str], end_id: int, chunk_tokens: int):
+def _tokenise(paths: tuple[str, str, str], end_id: int):
+    """Texts to ids; ``at`` is where a document starts among its task's tokens of the same queue."""
+
     def run(batches):
         encode, task = encoder(*paths), TaskContext.get().partitionId()
-        chunk, held = 0, 0
+        so_far: dict = {}
         for batch in slices(batches, 1, 2 << 20):
-            ids, blobs, counts, chunks = batch.column(0), [], [], []
-            for text in batch.column(1).to_pylist():
+            ids, blobs, counts, starts = batch.column(0), [], [], []
+            for text, queue in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 tokens = np.asarray(encode(text or "") + [end_id], dtype=np.uint32)
-                if held and held + len(tokens) > chunk_tokens:
-                    chunk, held = chunk + 1, 0
-                held += len(tokens)
                 blobs.append(tokens.astype(np.uint16).tobytes() if tokens.max() < 65536 else b"\0" + tokens.tobytes())
                 counts.append(len(tokens))
-                chunks.append(task * (1 << 20) + chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), batch.column(2), ids, pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], names=["chunk", "queue", "doc_id", "n", "ids"])
+                starts.append(so_far.get(queue, 0))
+                so_far[queue] = starts[-1] + len(tokens)
+            yield pa.RecordBatch.from_arrays([pa.array([task] * len(ids), pa.int64()), batch.column(2), pa.array(starts, pa.int64()), ids, pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], names=["task", "queue", "at", "doc_id", "n", "ids"])
 
     return run
 
@@ -168,21 +168,24 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", queue_
 
     ``weights`` maps a queue's name to its target share; without it the target
     is each queue's share of all tokens, so that every window mirrors the
-    corpus. Documents are tokenised once, to a table of chunks of about
-    ``chunk_tokens``; a chunk is the unit that one task packs. A chunk starts
-    with the deficits that the chunks before it leave (target share of all
-    tokens so far, less the queue's tokens so far), and its last, partial window
-    is cut into powers of two, so there is no padding.
+    corpus. Documents are tokenised once; then each goes to the chunk of about
+    ``chunk_tokens`` that its place in its own queue falls into when all queues
+    run side by side at their target shares, so a chunk holds every queue at
+    target however the input is laid out. Places are prefix sums over tasks. A
+    chunk is the unit that one task packs. It starts with the deficits that the
+    chunks before it leave (what a queue was due so far, less what it has had),
+    and its last, partial window is cut into powers of two, so there is no
+    padding. Queues of share 0 follow when the others have run dry.
 
     A null text is empty (only the end id), a null queue is a queue of its own,
     a null id is kept; repeated rows are packed once each; an empty table gives
-    no pieces. Further columns are ignored. One document never shares a chunk
-    boundary; one longer than a chunk has a chunk to itself.
+    no pieces. Further columns are ignored. A document is never cut by a
+    chunk boundary; the chunk it starts in grows by what is over.
     """
     paths = tokenizer or default_paths()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(queue_col).cast("string").alias("queue"))
-    chunks = materialise(rows.mapInArrow(_tokenise(paths, end_id, chunk_tokens), "chunk long, queue string, doc_id long, n long, ids binary"), "pack")
-    counts = materialise(chunks.groupBy("chunk", "queue").agg(F.sum("n").alias("n")), "pack-counts")
+    tokens = materialise(rows.mapInArrow(_tokenise(paths, end_id), "task long, queue string, at long, doc_id long, n long, ids binary"), "pack")
+    counts = materialise(tokens.groupBy("task", "queue").agg(F.sum("n").alias("n")), "pack-tasks")
     share = counts.groupBy("queue").agg(F.sum("n").alias("all"))
     if weights is None:
         share = share.select("queue", F.col("all").cast("double").alias("share"))
@@ -192,14 +195,26 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", queue_
             w = F.when(F.col("queue").eqNullSafe(F.lit(name)), F.lit(float(x))).otherwise(w)
         share = share.select("queue", w.alias("share"))
     whole = max(share.agg(F.sum("share").alias("whole")).first().whole or 0.0, 1e-300)
-    share = share.select("queue", (F.col("share") / F.lit(whole)).alias("share"))
+    # a queue of share 0 gets a rate of 1 in a second round
+    rate = F.when(F.col("share") > 0, F.col("share") / F.lit(whole)).otherwise(F.lit(1.0))
+    share = counts.groupBy("queue").agg(F.sum("n").cast("double").alias("all")).alias("c").join(share.alias("s"), F.expr("c.queue <=> s.queue")).select("c.queue", "c.all", (F.col("share") / F.lit(whole)).alias("share"), rate.alias("rate"), (F.col("share") > 0).alias("first"))
+    share = materialise(share, "pack-shares")
+    queues = share.agg(F.collect_list(F.struct("all", "rate", "first")).alias("queues"))
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
-    totals = counts.groupBy("chunk").agg(F.sum("n").alias("total"))
+    offsets = counts.withColumn("offset", F.coalesce(F.sum("n").over(before.partitionBy("queue").orderBy("task")), F.lit(0)))
+    offsets = offsets.alias("o").join(share.alias("s"), F.expr("o.queue <=> s.queue")).select("o.task", F.col("o.queue").alias("of"), "o.offset", "s.rate", "s.first")
+    # tokens of all queues that are due when each queue has had its rate for so long
+    due = "aggregate(queues, 0D, (a, q) -> a + CASE WHEN q.first = {first} THEN least(q.rate * {time}, q.all) WHEN q.first THEN q.all ELSE 0D END)"
+    placed = tokens.alias("t").join(F.broadcast(offsets.alias("o")), F.expr("t.task = o.task AND t.queue <=> o.of")).select("t.queue", "t.doc_id", "t.n", "t.ids", "o.first", F.expr("(o.offset + t.at) / o.rate").alias("time"))
+    placed = placed.crossJoin(F.broadcast(queues)).withColumn("chunk", F.floor(F.expr(due.format(first="first", time="time")) / F.lit(chunk_tokens)).cast("long"))
+    counts = materialise(placed.groupBy("chunk", "queue").agg(F.sum("n").alias("n"), F.min(F.when(F.col("first"), F.col("time"))).alias("time")), "pack-counts")
+    chunks = placed.select("chunk", "queue", "doc_id", "n", "ids")
+    totals = counts.groupBy("chunk").agg(F.sum("n").alias("total"), F.min("time").alias("time"))
     sequences = F.expr(f"total div {window} + bit_count(total % {window})")
-    totals = totals.select("chunk", F.coalesce(F.sum("total").over(before.orderBy("chunk")), F.lit(0)).alias("so_far"), F.coalesce(F.sum(sequences).over(before.orderBy("chunk")), F.lit(0)).alias("first"))
+    totals = totals.crossJoin(F.broadcast(queues)).select("chunk", "time", F.expr(due.format(first="true", time="time")).alias("due"), F.coalesce(F.sum("total").over(before.orderBy("chunk")), F.lit(0)).alias("so_far"), F.coalesce(F.sum(sequences).over(before.orderBy("chunk")), F.lit(0)).alias("first"))
     own = counts.withColumn("had", F.coalesce(F.sum("n").over(before.partitionBy("queue").orderBy("chunk")), F.lit(0)))
-    state = own.alias("o").join(share.alias("s"), F.expr("o.queue <=> s.queue")).select("o.chunk", "o.queue", "o.had", "s.share").join(totals, "chunk")
-    entry = F.struct("queue", "share", (F.col("share") * F.col("so_far") - F.col("had")).alias("carried"))
+    state = own.alias("o").join(share.alias("s"), F.expr("o.queue <=> s.queue")).select("o.chunk", "o.queue", "o.had", "s.share", "s.rate", "s.all", F.col("s.first").alias("weighted")).join(totals, "chunk")
+    entry = F.struct("queue", "share", F.expr("CASE WHEN weighted THEN least(rate * time, all) + share * (so_far - due) - had ELSE 0D END").alias("carried"))
     state = state.groupBy("chunk").agg(F.first("first").alias("first"), F.array_sort(F.collect_list(entry)).alias("queues"))
     return chunks.groupBy("chunk").cogroup(state.groupBy("chunk")).applyInArrow(_pack(window, quantum), PIECES)
 

@@ -89,3 +89,27 @@ def test_round_robin_carries_deficits():
     assert runs[:2] == [(0, 0, 0, 50), (0, 50, 1, 50)]  # twice its share, not the whole debt at once
     assert runs[2:4] == [(1, 0, 0, 50), (1, 50, 1, 50)]
     assert sum(n for _, _, q, n in runs if q == 0) == 100 and sum(n for *_, n in runs) == 400
+
+
+def test_input_sorted_by_source(spark, tokenizer, tmp_path):
+    rows = [(i, f"word {i} " * 30, q) for i, q in enumerate(["a"] * 300 + ["b"] * 200 + ["c"] * 100)]
+    for k in range(6):  # a file of one source for each partition
+        spark.createDataFrame(rows[100 * k : 100 * k + 100], "doc_id long, text string, source string").coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for weights in (None, {"a": 1, "b": 1, "c": 2}):
+        pieces = packing.pack(df, chunk_tokens=12_000, quantum=16, weights=weights).collect()
+        verify(pieces, [r[:2] for r in rows], tokenizer)
+        lens, by_queue = defaultdict(int), defaultdict(lambda: defaultdict(int))
+        for p in pieces:
+            lens[p.sequence_id] += p.length
+            by_queue[p.sequence_id][p.queue] += p.length
+        full, all_of = [s for s, n in lens.items() if n == 1024], defaultdict(int)
+        for p in pieces:
+            all_of[p.queue] += p.length
+        if weights:  # until the first queue has run dry
+            full, want = [s for s in full if s < all_of["c"] * 2 // 1024 * 3 // 4], {q: n / 4 for q, n in weights.items()}
+        else:
+            want = {q: n / sum(all_of.values()) for q, n in all_of.items()}
+        assert len(full) > 10
+        off = [abs(by_queue[s][q] / 1024 - x) for s in full for q, x in want.items()]
+        assert sorted(off)[int(0.8 * len(off))] < 0.08 and max(off) < 0.35
