@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,11 @@ EDGE_PUNCTUATION = ".,;:!?\"'()[]{}<>*%&$#|-_/\\"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set."""
+    """The cluster's shared folder. A temporary folder of our own only where driver and executors are one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: working tables need a folder that every executor can see")
         found = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,24 +49,64 @@ def small_batches(spark: SparkSession, size: str = "4m"):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+_tables: list[list[str]] = []
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def working_path(spark: SparkSession, tag: str) -> str:
+    """A new folder's path in the shared folder, which the ``working_tables`` around it delete at their end."""
+    path = shared_path(spark, tag)
+    for held in _tables:
+        held.append(path)
+    return path
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Have what is at ``path`` deleted when the application ends, if nobody does so earlier."""
+    fs, where = _folder(spark, path)
+    fs.deleteOnExit(where)
+
+
 def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: this cuts the lineage."""
-    path = shared_path(df.sparkSession, tag)
+    path = working_path(df.sparkSession, tag)
     with small_batches(df.sparkSession):
         df.write.option("compression", codec).parquet(path)
+    until_exit(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lodestrata_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, where = _folder(spark, path)
+    fs.delete(where, True)
+    fs.cancelDeleteOnExit(where)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete working tables that nothing reads any more."""
     for df in frames:
         path = getattr(df, "_lodestrata_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def working_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all working tables written within: for results that have been written out by then."""
+    held: list[str] = []
+    _tables.append(held)
+    try:
+        yield
+    finally:
+        _tables.remove(held)
+        for path in held:
+            _delete(spark, path)
 
 
 def slices(batches, column: int, max_bytes: int = 8 << 20):
