@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from .common import ascii_words, materialise, mix, release, slices
 
 SEGMENTS, PROBES, BITS_EACH = 1024, 4, 8
+TOP_LEVEL = 64  # counts are 64-bit
 SEGMENT_TOKENS = 1 << 22
 SEGMENT_SHIFT = np.uint64(64 - 10)
 END = ""  # the end token: no word is empty
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-BIGRAM, CONTEXT, START = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F))
+BIGRAM, UNIGRAM = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 BLOCK = "block long, doc_ids array<long>, held array<boolean>, lens array<int>, ids binary, words array<string>, train array<long>"
 COUNTED = "block long, doc_ids array<long>, held array<boolean>, lens array<int>, ids binary, hashes binary, counts binary"
 
@@ -90,17 +91,26 @@ def _counted(key, block, counts):
 
 
 class Model:
-    """Hashes of n-grams and the smoothing; counts of bigrams and contexts come from the filter."""
+    """The totals and the smoothing; all counts of n-grams come from the filter.
 
-    def __init__(self, tokens: int, kinds: int, prior: float = 300.0, discount: float = 0.5):
+    A word's discounted frequency leaves ``discount`` of an occurrence of each
+    known word over. That mass is shared evenly by the words not seen, whose
+    number is Chao's estimate from the words seen once and twice, and large
+    enough that a word not seen has half the chance at most of one seen once.
+    """
+
+    def __init__(self, tokens: int, kinds: int, once: int = 0, twice: int = 0, prior: float = 300.0, discount: float = 0.5):
         self.tokens, self.kinds, self.prior, self.discount = tokens, kinds, prior, discount
+        unseen = max(once * (once - 1) / (2 * (twice + 1)), 2 * discount * kinds / (1 - discount), 1.0)
+        self.unseen = discount * kinds / max(1, tokens) / unseen
 
-    @staticmethod
-    def contexts(words: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        before = np.empty_like(words)
-        before[1:] = words[:-1]
-        before[np.cumsum(lens) - lens] = START
-        return before
+    def single(self, count: np.ndarray) -> np.ndarray:
+        """Probability of a word by its count."""
+        return np.where(count > 0, np.maximum(count - self.discount, 0.0) / max(1, self.tokens), self.unseen)
+
+    def token(self, seen: np.ndarray, total: np.ndarray, single: np.ndarray) -> np.ndarray:
+        """Probability of a token after its context: the bigram's count smoothed towards the word's probability."""
+        return (np.minimum(seen, total) + self.prior * single) / (total + self.prior)
 
 
 def _blocks(batch):
@@ -110,24 +120,31 @@ def _blocks(batch):
         yield docs, np.asarray(held, dtype=bool), np.asarray(lens, dtype=np.int64), expand(ids, "<u4"), np.frombuffer(hashes, "<u8"), np.abs(c), c > 0
 
 
-def _of_block(model: Model, h, ids, lens):
-    """The n-grams of each token's bigram and context."""
-    before, now = model.contexts(h[ids], lens), h[ids]
+def _before(ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The word before each token; a text's first token follows the end token."""
+    before = np.empty_like(ids)
+    before[1:] = ids[:-1]
+    ends = np.cumsum(lens)
+    before[ends - lens] = ids[ends - 1]
+    return before
+
+
+def _of_block(h, ids, lens):
+    """The n-grams of a block: each token's bigram, then each word of its list."""
     with np.errstate(over="ignore"):
-        return mix(before * BIGRAM + now), mix(before ^ CONTEXT)
+        return np.concatenate([mix(h[_before(ids, lens)] * BIGRAM + h[ids]), mix(h ^ UNIGRAM)])
 
 
-def _ask(model: Model, segments: int):
+def _ask(segments: int):
     """A block's distinct n-grams in order, cut by segment, and how often its training rows have each."""
     shift = np.uint64(65 - segments.bit_length())
 
     def run(batches):
         for batch in batches:
             for block, (_, held, lens, ids, h, _, _) in zip(batch.column("block").to_pylist(), _blocks(batch), strict=True):
-                grams = np.concatenate(_of_block(model, h, ids, lens))
                 train = (~np.repeat(held, lens)).astype(np.float64)
-                gram, at = np.unique(grams, return_inverse=True)
-                n = np.bincount(at, weights=np.concatenate([train, train])).astype("<i8")
+                gram, at = np.unique(_of_block(h, ids, lens), return_inverse=True)
+                n = np.bincount(at, weights=np.concatenate([train, np.bincount(ids, weights=train, minlength=len(h))])).astype("<i8")
                 cuts = np.searchsorted(gram >> shift, np.arange(segments + 1, dtype=np.uint64))
                 rows = [(s, block, squeeze(np.diff(gram[a:b], prepend=np.uint64(0))), squeeze(n[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
                 kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
@@ -142,7 +159,7 @@ def places(gram: np.ndarray, level: np.ndarray | int, bits: int) -> np.ndarray:
     """Bit places of (n-gram, level) within the n-gram's segment: one row for each probe."""
     with np.errstate(over="ignore"):
         a = mix(gram + np.asarray(level, dtype=np.uint64) * GOLDEN)
-        b = mix(a ^ CONTEXT) | np.uint64(1)
+        b = mix(a ^ UNIGRAM) | np.uint64(1)
         return np.stack([(a + np.uint64(k) * b) & np.uint64(bits - 1) for k in range(PROBES)])
 
 
@@ -171,22 +188,26 @@ def _segment(bits: int):
     return run
 
 
-def bits_for(entries: int) -> int:
-    """Bits of a segment of so many entries: 8 to 16 for each, at every size of the input."""
-    return 1 << max(10, int(np.ceil(np.log2(max(1, BITS_EACH * entries)))))
+def bits_for(entries: int, each: int = BITS_EACH) -> int:
+    """Bits of a segment of so many entries: ``each`` to twice that for each, at every size of the input."""
+    return 1 << max(10, int(np.ceil(np.log2(max(1, each * entries)))))
 
 
-def _answer(_, rows):
+def _answer(each: int = BITS_EACH):
     """Fills a segment of the filter and reads it for every block that asks: the levels of the block's n-grams, in their order."""
-    asked = [np.cumsum(expand(x, "<u8"), dtype=np.uint64) for x in rows.column("grams").to_pylist()]
-    gram, at = np.unique(np.concatenate(asked), return_inverse=True)
-    n = np.bincount(at, weights=np.concatenate([expand(x, "<i8") for x in rows.column("counts").to_pylist()]))
-    level = np.where(n > 0, quantise(n), 0)
-    bits = bits_for(int(level.sum()))
-    read = LogFrequencyBloom(fill(gram, level, bits), bits).levels(gram).astype(np.uint8)
-    cuts = np.cumsum([0, *map(len, asked)]).tolist()
-    levels = [squeeze(read[at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.table({"block": rows.column("block"), "segment": rows.column("segment"), "levels": pa.array(levels, pa.binary())})
+
+    def run(_, rows):
+        asked = [np.cumsum(expand(x, "<u8"), dtype=np.uint64) for x in rows.column("grams").to_pylist()]
+        gram, at = np.unique(np.concatenate(asked), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([expand(x, "<i8") for x in rows.column("counts").to_pylist()]))
+        level = np.where(n > 0, quantise(n), 0)
+        bits = bits_for(int(level.sum()), each)
+        read = LogFrequencyBloom(fill(gram, level, bits), bits).levels(gram).astype(np.uint8)
+        cuts = np.cumsum([0, *map(len, asked)]).tolist()
+        levels = [squeeze(read[at[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table({"block": rows.column("block"), "segment": rows.column("segment"), "levels": pa.array(levels, pa.binary())})
+
+    return run
 
 
 class LogFrequencyBloom:
@@ -199,15 +220,16 @@ class LogFrequencyBloom:
         level = np.zeros(len(gram), dtype=np.int64)
         one = 8 * len(self.data) == self.bits
         base = np.zeros(len(gram), dtype=np.int64) if one else (gram >> SEGMENT_SHIFT).astype(np.int64) * (self.bits // 8)
-        live, j = np.arange(len(gram)), 1
-        while len(live):
+        live = np.arange(len(gram))
+        for j in range(1, TOP_LEVEL + 1):
+            if not len(live):
+                break
             at = places(gram[live], j, self.bits).astype(np.int64)
             there = np.ones(len(live), dtype=bool)
             for row in at:
                 there &= (self.data[base[live] + (row >> 3)] >> (row & 7) & 1).astype(bool)
             live = live[there]
             level[live] = j
-            j += 1
         return level
 
     def counts(self, gram: np.ndarray) -> np.ndarray:
@@ -220,23 +242,21 @@ def middle(level: np.ndarray) -> np.ndarray:
     return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 2.0 ** (level - 1) / np.log(2)))
 
 
-def log_probabilities(model: Model, levels, hashes, counts, ids, lens) -> np.ndarray:
-    """log10 probability of each token: bigram counts smoothed towards the word's discounted frequency."""
+def log_probabilities(model: Model, levels, hashes, ids, lens) -> np.ndarray:
+    """log10 probability of each token, from the levels of the block's distinct n-grams in their order."""
     if not model.tokens:
         return np.zeros(len(ids))
-    _, at = np.unique(np.concatenate(_of_block(model, hashes, ids, lens)), return_inverse=True)
-    seen, total = np.split(middle(levels)[at], 2)
-    single = np.where(counts > 0, np.maximum(counts - model.discount, 0.1), model.discount * max(1, model.kinds)) / model.tokens
-    single = np.minimum(single, 1.0)
-    p = (np.minimum(seen, total) + model.prior * single[ids]) / (total + model.prior)
-    return np.log10(p)
+    _, at = np.unique(_of_block(hashes, ids, lens), return_inverse=True)
+    count = middle(levels)[at]
+    seen, words = count[: len(ids)], count[len(ids) :]
+    return np.log10(model.token(seen, words[_before(ids, lens)], model.single(words)[ids]))
 
 
 def _totals(batches):
-    """N and V: the counts that each block passes on, and how many are above 0."""
+    """N, V and the words seen once and twice: of the counts that each block passes on."""
     for batch in batches:
         c = np.concatenate([expand(x, "<i8") for x in batch.column("counts").to_pylist()] or [np.zeros(0, dtype="<i8")])
-        yield pa.RecordBatch.from_arrays([pa.array([int(c[c > 0].sum())]), pa.array([int((c > 0).sum())])], names=["n", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in (c[c > 0].sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum())], names=["n", "v", "once", "twice"])
 
 
 def _score(model: Model):
@@ -250,13 +270,29 @@ def _score(model: Model):
         row = np.repeat(np.arange(len(lens)), lens)
         base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
         total = lambda x: np.bincount(row, weights=x, minlength=len(lens))
-        columns = [pa.array(docs, pa.int64()), pa.array(held, pa.bool_()), pa.array(lens, pa.int64()), pa.array(total(c[ids] > 0).astype(np.int64)), pa.array(np.full(len(lens), n), pa.int64()), pa.array(total(base[ids])), pa.array(total(log_probabilities(model, levels, h, c, ids, lens)))]
+        columns = [pa.array(docs, pa.int64()), pa.array(held, pa.bool_()), pa.array(lens, pa.int64()), pa.array(total(c[ids] > 0).astype(np.int64)), pa.array(np.full(len(lens), n), pa.int64()), pa.array(total(base[ids])), pa.array(total(log_probabilities(model, levels, h, ids, lens)))]
         return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
+def _word_counts(met: DataFrame, blocks: int, most: int) -> DataFrame:
+    """``met`` (block, at, word, n) with each word's count over all blocks and whether the block is the first to hold it.
+
+    Counts run over the rows of a word. Beyond ``most`` blocks they run over
+    groups of so many blocks, then over a word's groups, so that the rows of
+    the end token or a very common word lie with many tasks and not with one.
+    """
+    own, first = Window.partitionBy("word"), Window.partitionBy("word").orderBy("block")
+    if blocks <= most:
+        return met.select("block", "at", F.xxhash64("word").alias("h"), F.sum("n").over(own).alias("c"), (F.row_number().over(first) == 1).alias("first"))
+    met = met.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(-(-blocks // most)).cast("long")))
+    parts = met.groupBy("word", "part").agg(F.sum("n").alias("n"), F.min("block").alias("least"))
+    parts = parts.select("word", "part", F.sum("n").over(own).alias("c"), F.min("least").over(own).alias("least"))
+    return met.drop("n").join(parts, ["word", "part"]).select("block", "at", F.xxhash64("word").alias("h"), "c", (F.col("block") == F.col("least")).alias("first"))
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, bits_each: int = BITS_EACH, word_blocks: int = 4096) -> DataFrame:
     """Score every whole text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose crc32(doc_id as text) mod ``folds`` is not 0. Words
@@ -264,11 +300,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     end token. ``base_score`` uses exact counts, which a join brings to each
     block of texts by its distinct words. ``score`` is the log10 probability by
     a bigram model whose counts sit in a log-frequency Bloom filter (Talbot and
-    Osborne 2007): contexts and bigrams go in once for each level up to
+    Osborne 2007): words and bigrams go in once for each level up to
     1 + floor(log2(count)), and are read by probing level after level. Every
-    bigram of the training rows goes in as itself; counts of words are exact.
+    word and bigram of the training rows goes in as itself. A word's count is
+    its count as a context, too, since a token follows each but the end token,
+    which stands before a text's first token.
 
-    The filter has 8 to 16 bits for each entry at every size of the input. It is
+    The filter has ``bits_each`` to twice as many bits for each entry at every size of the input. It is
     never in one place: a task holds one hash segment, fills it with the counts
     that all blocks send and reads it for the n-grams that they ask for; the
     number of segments follows the training tokens. A block sends an n-gram
@@ -283,18 +321,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held"))
     blocks = materialise(rows.mapInArrow(_tokenise, BLOCK), "lm")
     met = blocks.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("at", "w")).select("block", "at", F.col("w.words").alias("word"), F.col("w.train").alias("n"))
-    # a word has one row for each block at most, so none is hot; one exchange brings its rows together
-    own, first = Window.partitionBy("word"), Window.partitionBy("word").orderBy("block")
-    found = met.select("block", "at", F.xxhash64("word").alias("h"), F.sum("n").over(own).alias("c"), (F.row_number().over(first) == 1).alias("first"))
+    found = _word_counts(met, blocks.count(), word_blocks)
     found = materialise(found.mapInArrow(_gather, "block long, at binary, h binary, c binary"), "lm-found", "uncompressed")
     counted = blocks.drop("words", "train").groupBy("block").cogroup(found.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(_counted, COUNTED)
     counted = materialise(counted, "lm-counted")
-    total = counted.mapInArrow(_totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    total = counted.mapInArrow(_totals, "n long, v long, once long, twice long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "once", "twice")]).first()
     release(blocks, found)
-    model = Model(int(total.n), int(total.v))
+    model = Model(*map(int, total))
     segments = max(SEGMENTS, 1 << max(0, model.tokens // SEGMENT_TOKENS).bit_length())
-    asked = counted.mapInArrow(_ask(model, segments), "segment int, block long, grams binary, counts binary")
-    levels = asked.groupBy("segment").applyInArrow(_answer, "block long, segment int, levels binary")
+    asked = counted.mapInArrow(_ask(segments), "segment int, block long, grams binary, counts binary")
+    levels = asked.groupBy("segment").applyInArrow(_answer(bits_each), "block long, segment int, levels binary")
     scored = counted.groupBy("block").cogroup(levels.withColumnRenamed("block", "of").groupBy("of"))
     return scored.applyInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

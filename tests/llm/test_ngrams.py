@@ -31,6 +31,55 @@ def test_whole_table(spark, sf_dir):
     assert all(math.isfinite(r.score) and r.score <= 0 for r in got)
 
 
+def exact_model(rows, quantised):
+    """Scores by a dictionary of bigram and word counts, with the model's smoothing; counts as the filter rounds them or as they are."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = [(i, [None, *re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)), None]) for i, t in rows]
+    words, pairs = Counter(), Counter()
+    for i, ws in texts:
+        if zlib.crc32(str(i).encode()) % 10:
+            words.update(ws[1:])
+            pairs.update(zip(ws[:-1], ws[1:], strict=True))
+    many = Counter(words.values())
+    model = ngrams.Model(sum(words.values()), len(words), many[1], many[2])
+    count = (lambda n: float(ngrams.middle(ngrams.quantise(np.array([n])) * (n > 0))[0])) if quantised else float
+    p = lambda a, b: float(model.token(np.array(count(pairs[a, b])), np.array(count(words[a])), model.single(np.array(count(words[b])))))
+    return {i: sum(math.log10(p(a, b)) for a, b in zip(ws[:-1], ws[1:], strict=True)) for i, ws in texts}, model, words
+
+
+def test_scores_against_an_exact_model(spark, sf_dir):
+    t = pq.read_table(f"{sf_dir}/documents.parquet").to_pydict()
+    rows = list(zip(t["doc_id"], t["text"], strict=True))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want, model, words = exact_model(rows, quantised=True)
+    exact, *_ = exact_model(rows, quantised=False)
+    wide = {r.doc_id: r for r in ngrams.score_texts(docs, bits_each=64).collect()}
+    assert np.mean([abs(r.score - want[i]) < 1e-6 * r.n_tokens for i, r in wide.items()]) > 0.8  # no false positive in the text
+    assert max(abs(r.score - want[i]) / r.n_tokens for i, r in wide.items()) < 0.01
+    plain = {r.doc_id: r for r in ngrams.score_texts(docs).collect()}
+    assert np.mean([abs(r.score - exact[i]) / r.n_tokens for i, r in plain.items()]) < 0.08
+    # the words' probabilities are a distribution: known ones, and the mass shared by those not seen
+    known = sum(model.single(np.array([n], dtype=float))[0] for n in words.values())
+    assert abs(known + model.discount * model.kinds / model.tokens - 1) < 1e-9
+
+
+def test_invented_words_score_below_known_text(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    known = " ".join(next(r.text for r in docs.collect() if r.text and len(r.text.split()) > 300 and zlib.crc32(str(r.doc_id).encode()) % 10).split()[:200])
+    invented = " ".join(f"zq{k}xv" for k in range(200))
+    held = [i for i in range(10**6, 10**6 + 100) if not zlib.crc32(str(i).encode()) % 10]
+    more = spark.createDataFrame([(held[0], known), (held[1], invented)], "doc_id long, text string")
+    got = {r.doc_id: r for r in ngrams.score_texts(docs.unionByName(more)).collect()}
+    assert got[held[0]].n_tokens == got[held[1]].n_tokens
+    assert got[held[1]].score < got[held[0]].score - 200
+
+
+def test_word_counts_by_groups_of_blocks(spark):
+    met = spark.createDataFrame([(b, k, w, b % 3) for b in range(40) for k, w in enumerate(("", "a", f"w{b % 7}"))], "block long, at int, word string, n long")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(ngrams._word_counts(met, 40, 6)) == key(ngrams._word_counts(met, 40, 4096))
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " \x0b A aÉ é a b "), (None, "a"), (10, "a b"), (10, "a b"), (12, "x " * 100_000)]
     df = spark.createDataFrame([(*r, 4, "w") for r in rows], "doc_id long, text string, held int, words string")
@@ -82,7 +131,7 @@ def test_false_positives_do_not_rise_with_the_segment():
         gram = np.sort(rng.integers(0, 2**63, many, dtype=np.uint64))
         n = np.where(np.arange(many) % 2, 1, 0).astype("<i8")  # every second one is asked for only
         rows = pa.table({"segment": pa.array([7], pa.int32()), "block": pa.array([3]), "grams": pa.array([ngrams.squeeze(np.diff(gram, prepend=np.uint64(0)))], pa.binary()), "counts": pa.array([ngrams.squeeze(n)], pa.binary())})
-        out = ngrams._answer(None, rows)
+        out = ngrams._answer()(None, rows)
         level = ngrams.expand(out.column("levels")[0].as_py(), "u1")
         assert (level[n > 0] >= 1).all() and (level[n == 0] > 0).mean() < 0.03
     assert all(8 <= ngrams.bits_for(n) / n <= 16 for n in (1_000, 10**6, 5 * 10**9))
