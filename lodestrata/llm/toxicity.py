@@ -4,131 +4,146 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import plain_words, slices
 
-PREFIXES = (4, 5)
 
-
-def terms_of(word: str) -> list[str]:
-    """A word's terms: itself and, marked by ^, its first letters, which compounds and inflections share."""
-    return [word, *("^" + word[:n] for n in PREFIXES if len(word) >= n)]
-
-
-def _pairs(text: pa.Array, vocabulary: dict[str, int] | None):
-    """Distinct (row, term) pairs with counts. Without a vocabulary the terms are those met, which come back as well."""
+def _bags(text: pa.Array, vocabulary: dict[str, int] | None) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], dict[str, int]]:
+    """Each row's known terms with their counts, and the counts of its other terms. Without a vocabulary all that are met become known."""
     words, lens = plain_words(text)
     coded = words.dictionary_encode()
     names = coded.dictionary.to_pylist()
-    seen: dict[str, int] = vocabulary if vocabulary is not None else {}
-    of_word = np.full((len(names), 1 + len(PREFIXES)), -1, dtype=np.int64)
-    for k, word in enumerate(names):
-        for j, term in enumerate(terms_of(word)):
-            t = seen.get(term, -1) if vocabulary is not None else seen.setdefault(term, len(seen))
-            if t >= 0:
-                of_word[k, j] = t
+    if vocabulary is None:
+        vocabulary = {w: k for k, w in enumerate(names)}
+    of_word = np.fromiter((vocabulary.get(w, -1) for w in names), dtype=np.int64, count=len(names))
     row = np.repeat(np.arange(len(lens)), lens)
-    ids = coded.indices.to_numpy(zero_copy_only=False)
-    some = (of_word >= 0).any(1)[ids] if len(names) else np.zeros(0, dtype=bool)
-    hit = of_word[ids[some]]
-    key = (row[some, None] * max(1, len(seen)) + hit)[hit >= 0]
-    pairs, counts = np.unique(key, return_counts=True)
-    return pairs // max(1, len(seen)), pairs % max(1, len(seen)), counts, seen
+    pairs, counts = np.unique(row * max(1, len(names)) + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    row, word = pairs // max(1, len(names)), pairs % max(1, len(names))
+    term, cuts = of_word[word], np.searchsorted(row, np.arange(len(lens) + 1))
+    out = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        known = term[a:b] >= 0
+        out.append((term[a:b][known], counts[a:b][known], counts[a:b][~known]))
+    return out, vocabulary
+
+
+class Weights:
+    """Weight of each term: its inverse document frequency times how surely it tells the labels apart.
+
+    The second factor is the squared log odds over its variance, z^2, as
+    (z^2 / (z^2 + pull))^2, and ``floor`` at least: no term is left out, and
+    terms that no example has count in a text's length at the floor.
+    """
 
+    def __init__(self, with_one: np.ndarray, with_zero: np.ndarray, ones: int, zeros: int, pull: float = 4.0, floor: float = 0.02):
+        n = ones + zeros
+        odds = np.log((with_one + 0.5) / (ones + 1)) - np.log((with_zero + 0.5) / (zeros + 1))
+        z2 = odds**2 / (1 / (with_one + 0.5) + 1 / (with_zero + 0.5))
+        tells = (z2 / (z2 + pull)) ** 2
+        self.term = np.log((n + 1) / (with_one + with_zero + 0.5)) * (floor + (1 - floor) * tells)
+        self.other = float(np.log((n + 1) / 0.5)) * floor
 
-def _frequencies(batches):
-    """(term, rows with it of label 1, of label 0) of each slice."""
-    for batch in slices(batches, 0, 4 << 20):
-        row, term, _, seen = _pairs(batch.column(0), None)
-        y = batch.column(1).to_numpy(zero_copy_only=False)[row] == 1
-        one, zero = np.bincount(term[y], minlength=len(seen)), np.bincount(term[~y], minlength=len(seen))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(one, pa.int64()), pa.array(zero, pa.int64())], names=["term", "n1", "n0"])
+    def unit(self, terms: np.ndarray, counts: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """The known terms' part of the text's unit vector."""
+        w = (1 + np.log(counts)) * self.term[terms]
+        rest = (1 + np.log(others)) * self.other
+        return w / (np.sqrt((w * w).sum() + (rest * rest).sum()) or 1.0)
 
 
-def _vectors(vocabulary: dict[str, int]):
-    def run(batches):
-        for batch in slices(batches, 0, 4 << 20):
-            row, term, counts, _ = _pairs(batch.column(0), vocabulary)
-            ends = np.searchsorted(row, np.arange(batch.num_rows), "right")
-            offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.ListArray.from_arrays(offsets, pa.array(term, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int32()))], names=["y", "doc_id", "terms", "counts"])
-
-    return run
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all spans, one span after the other."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - starts, sizes)
 
 
 class BlockMaxIndex:
-    """Unit TF-IDF vectors in blocks of neighbouring rows, with each term's largest weight in each block."""
+    """Unit vectors in blocks of neighbouring rows: postings by term and block, with each term's largest weight in each block that has it."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, block: int = 128):
-        self.idf, self.block, self.n = idf, block, len(vectors)
-        rows = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
-        terms = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, dtype=np.int64)
-        weights = np.concatenate([self.weigh(t, c)[1] for t, c in vectors]) if vectors else np.zeros(0)
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 64):
+        self.block, self.n = block, len(vectors)
         self.blocks = -(-self.n // block)
-        self.most = np.zeros((len(idf), self.blocks))
-        np.maximum.at(self.most, (terms, rows // block), weights)
+        rows = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
+        terms = np.concatenate([np.zeros(0, dtype=np.int64), *(t for t, _ in vectors)])
+        weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
         order = np.lexsort((rows, terms))
-        self.rows, self.weights, terms = rows[order], weights[order], terms[order]
-        self.start = np.searchsorted(terms * max(1, self.blocks) + self.rows // block, np.arange(len(idf) * max(1, self.blocks) + 1))
-
-    def weigh(self, terms, counts):
-        w = (1 + np.log(counts)) * self.idf[terms]
-        return terms, w / (np.sqrt((w * w).sum()) or 1.0)
-
-    def nearest(self, terms, counts, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k rows of highest cosine above 0, ties to the earlier row: blocks by falling bound until none can add a better one."""
+        rows, self.weights, terms = rows[order], weights[order], terms[order]
+        self.rows = rows.astype(np.int32)
+        run = terms * max(1, self.blocks) + rows // block
+        new = np.nonzero(np.diff(run, prepend=-1))[0]
+        self.first = new  # of each (term, block): its first posting, block and largest weight
+        self.size = np.diff(np.append(new, len(run)))
+        self.of_block = (rows[new] // block).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weights, new) if len(new) else np.zeros(0)
+        self.of_term = np.searchsorted(terms[new], np.arange(n_terms + 1))
+
+    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k rows of highest cosine above 0, ties to the earlier row.
+
+        The blocks of highest bound come first; then, at once, all whose bound
+        reaches the k-th cosine found in them. No other block can hold a better row.
+        """
+        none = np.zeros(0, dtype=np.int64), np.zeros(0)
         if not len(terms) or not self.n:
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        terms, w = self.weigh(np.asarray(terms), np.asarray(counts))
-        bound = w @ self.most[terms]
-        best_rows, best = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) >= k and bound[b] < best[-1] - 1e-12:
-                break
-            score = np.zeros(self.block)
-            for t, x in zip(terms.tolist(), w.tolist(), strict=True):
-                s, e = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
-                if e > s:
-                    score[self.rows[s:e] - b * self.block] += x * self.weights[s:e]
-            if 0 <= but - b * self.block < self.block:
-                score[but - b * self.block] = 0
-            some = np.nonzero(score > 0)[0]
-            best_rows, best = np.concatenate([best_rows, some + b * self.block]), np.concatenate([best, score[some]])
-            top = np.lexsort((best_rows, -best))[:k]
-            best_rows, best = best_rows[top], best[top]
-        return best_rows, best
+            return none
+        start = self.of_term[terms]
+        sizes = self.of_term[terms + 1] - start
+        run, x = _spans(start, sizes), np.repeat(w, sizes)
+        bound = np.bincount(self.of_block[run], weights=x * self.most[run], minlength=self.blocks)
+        score = np.zeros(self.n)
+
+        def add(blocks: np.ndarray):
+            some = blocks[self.of_block[run]]
+            mine = run[some]
+            at = _spans(self.first[mine], self.size[mine])
+            score[:] += np.bincount(self.rows[at], weights=np.repeat(x[some], self.size[mine]) * self.weights[at], minlength=self.n)
+            if but >= 0:
+                score[but] = 0.0
+
+        ahead = np.zeros(self.blocks, dtype=bool)
+        ahead[np.argsort(-bound, kind="stable")[: max(1, -(-2 * k // self.block))]] = True
+        add(ahead)
+        kth = np.partition(score, self.n - k)[self.n - k] if self.n > k else 0.0
+        rest = (bound >= kth - 1e-12) & (bound > 0) & ~ahead
+        if rest.any():
+            add(rest)
+        some = np.nonzero(score > 0)[0]
+        if len(some) > k:
+            limit = np.partition(score[some], len(some) - k)[len(some) - k]
+            some = some[score[some] >= limit]
+        top = some[np.argsort(-score[some], kind="stable")[:k]]
+        return top, score[top]
 
 
 class Votes:
     """The labelled examples' index with what turns neighbours into a calibrated score."""
 
-    def __init__(self, vocabulary, idf, ids, labels, vectors, weight: dict[int, float], k: int):
-        order = sorted(range(len(ids)), key=lambda i: (labels[i], tuple(vectors[i][0][:3]), ids[i] or 0))
-        self.vocabulary, self.k = vocabulary, k
-        self.ids = [ids[i] for i in order]
-        self.y = np.array([labels[i] for i in order], dtype=np.int64)
+    def __init__(self, ids: list, labels: np.ndarray, texts: pa.Array, weight: dict[int, float], k: int):
+        bags, self.vocabulary = _bags(texts, None)
+        known = [(t, c) for t, c, _ in bags]
+        rows = lambda label: np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *(t for (t, _), y in zip(known, labels, strict=True) if y == label)]), minlength=len(self.vocabulary))
+        ones = int(labels.sum())
+        self.weights, self.k = Weights(rows(1), rows(0), ones, len(labels) - ones), k
+        none = np.zeros(0)
+        vectors = [(t, self.weights.unit(t, c, none)) for t, c in known]
+        # neighbours in order share their strongest terms, so blocks are alike and their bounds tell
+        order = sorted(range(len(ids)), key=lambda i: (-labels[i], known[i][0][np.argsort(-vectors[i][1], kind="stable")[:3]].tolist(), ids[i]))
+        self.ids, self.y = [ids[i] for i in order], labels[order] if len(order) else labels
         self.w = np.array([weight[v] for v in self.y.tolist()])
         vectors = [vectors[i] for i in order]
-        self.index = BlockMaxIndex(vectors, idf)
-        self.prior = float((self.w * self.y).sum() / self.w.sum()) if len(self.y) else 0.0
-        empty = np.array([not len(t) for t, _ in vectors], dtype=bool)
-        bare = self.w[empty]
-        self.bare = float(((bare * self.y[empty]).sum() + self.prior) / (bare.sum() + 1)) if len(self.y) else 0.0
-        raw = np.array([self.vote(*self.index.nearest(*v, k, but=i)) if len(v[0]) else np.nan for i, v in enumerate(vectors)])
-        some = ~np.isnan(raw)
-        self.steps = isotonic(raw[some], self.y[some], self.w[some])
+        self.index = BlockMaxIndex(vectors, len(self.vocabulary))
+        self.prior = float((self.w * self.y).sum() / self.w.sum()) if len(ids) else 0.0
+        raw = np.array([self.vote(*self.index.nearest(*v, k, but=i)) for i, v in enumerate(vectors)])
+        self.steps = isotonic(raw, self.y, self.w)
 
     def vote(self, rows, cosines) -> float:
         """Mean label of the neighbours by closeness, with one neighbour's worth of the prior."""
         v = self.w[rows] * cosines / (1.05 - cosines)
         return float(((v * self.y[rows]).sum() + self.prior) / (v.sum() + 1))
 
-    def score(self, terms, counts) -> tuple[float, list[int]]:
-        if not len(terms):
-            return self.bare, []
-        rows, cosines = self.index.nearest(terms, counts, self.k)
+    def score(self, terms, counts, others) -> tuple[float, list[int]]:
+        rows, cosines = self.index.nearest(terms, self.weights.unit(terms, counts, others), self.k)
         raw = self.vote(rows, cosines)
         x, y = self.steps
         steady = float(np.interp(raw, x, y)) if len(x) else raw
@@ -146,77 +161,71 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[2] / p[0] for p in pools]), np.array([p[1] / p[0] for p in pools])
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = 5_000, n_terms: int = 1_024, min_rows: int = 4, k: int = 24) -> Votes:
-    """Learn from at most ``per_class`` labelled rows of each class (smallest id hashes; a documented bound).
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: int = 2_000, class_bytes: int = 24 << 20, k: int = 24) -> Votes:
+    """Learn from labelled rows: of each class those of smallest id hash, at most ``per_class`` and ``class_bytes`` of text (documented bounds, one row at least).
 
     Rows whose crc32(doc_id as text) mod ``folds`` is 0 are held out; where an
-    id has several labels the larger counts. Terms are those met in
-    ``min_rows`` examples at least and three times as often in one class as in
-    the other, the ``n_terms`` of highest chi-squared.
+    id has several labels the larger counts. Every term of these rows is in the
+    index.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y")).where(fold != 0)
-    totals: dict[int, int] = {}
-    for r in marked.groupBy((F.col("y") > 0).cast("int").alias("y")).count().collect():
-        totals[r.y] = r["count"]
-    picked = [marked.where(c).select("doc_id", (F.col("y") > 0).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in ("y > 0", "y <= 0")]
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic").cast("int") > 0).cast("int").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y")).where(fold != 0)
+    totals = {0: 0, 1: 0} | {r.y: r["count"] for r in marked.groupBy("y").count().collect()}
+    place = [F.xxhash64("doc_id"), F.col("doc_id")]
+    picked = [marked.where(F.col("y") == c).orderBy(*place).limit(per_class) for c in (1, 0)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * per_class pairs of numbers
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
-    counts = sample.groupBy("y").count().collect()
-    n = {0: 0, 1: 0} | {r.y: r["count"] for r in counts}
-    if not n[0] + n[1]:
-        return Votes({}, np.zeros(0), [], [], [], {}, k)
-    weight = {c: totals.get(c, 0) / max(1, min(totals.get(c, 0), per_class)) for c in (0, 1)}
-    terms = sample.select("text", "y").mapInArrow(_frequencies, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(F.col("n1") + F.col("n0") >= min_rows)
-    n1, n0 = float(n[1]), float(n[0])
-    p1, p0 = (F.col("n1") + 0.5) / (n1 + 1), (F.col("n0") + 0.5) / (n0 + 1)
-    a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
-    total = n1 + n0
-    chi = total * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2)) / F.greatest(F.lit(1e-9), (a + b) * (total - a - b) * n1 * n0)
-    best = terms.withColumn("chi", chi).where(((p1 >= 3 * p0) | (p0 >= 3 * p1)) & (F.col("chi") >= 10)).orderBy(F.desc("chi"), "term").limit(n_terms).collect() if n1 and n0 else []
-    vocabulary = {r.term: i for i, r in enumerate(best)}
-    idf = np.log((total + 1) / (np.array([r.n1 + r.n0 for r in best], dtype=float) + 1)) + 1
-    rows = sample.select("text", "y", "doc_id").mapInArrow(_vectors(vocabulary), "y int, doc_id long, terms array<int>, counts array<int>").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.y, r.terms, r.counts))
-    return Votes(vocabulary, idf, [r.doc_id for r in rows], [r.y for r in rows], [(np.array(r.terms, dtype=np.int64), np.array(r.counts, dtype=np.int64)) for r in rows], weight, k)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "doc_id")
+    # an id may be on many rows
+    kept = [found.where(F.col("y") == c).orderBy(*place, F.xxhash64("text")).limit(per_class) for c in (1, 0)]
+    before = Window.partitionBy("y").orderBy(*place, F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
+    sample = kept[0].unionByName(kept[1]).withColumn("ahead", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).where(F.col("ahead") < class_bytes)
+    rows = sample.select("doc_id", "y", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    y = np.asarray(rows.column("y"), dtype=np.int64)
+    weight = {c: totals[c] / max(1, int((y == c).sum())) for c in (0, 1)}
+    return Votes(rows.column("doc_id").to_pylist(), y, rows.column("text").combine_chunks(), weight, k)
 
 
 def _score(votes):
     def run(batches):
         model = votes.value
-        for batch in slices(batches, 0, 4 << 20):
-            row, term, counts, _ = _pairs(batch.column(0), model.vocabulary)
-            ends = np.searchsorted(row, np.arange(batch.num_rows), "right").tolist()
-            start, scores, near = 0, [], []
-            for end in ends:
-                s, ids = model.score(term[start:end], counts[start:end])
-                scores.append(s)
-                near.append(ids)
-                start = end
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64()))], names=[*batch.schema.names[1:], "score", "evidence"])
+        for batch in slices(batches, 0, 2 << 20):
+            bags, _ = _bags(batch.column(0), model.vocabulary)
+            scored = [model.score(*bag) for bag in bags]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([s for s, _ in scored], pa.float64()), pa.array([near for _, near in scored], pa.list_(pa.int64()))], names=["row", "score", "evidence"])
 
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, folds: int = 5, **options) -> DataFrame:
-    """Score every whole text: the columns ``keep`` (doc_id), held_out, score, predicted, evidence.
+def _scored(docs: DataFrame, labels: DataFrame, columns: list[str], folds: int, options: dict) -> DataFrame:
+    """``columns`` as one struct ``row``, beside score and evidence: no name can clash."""
+    votes = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds, **options))
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    return rows.mapInArrow(_score(votes), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType()))]))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, **options) -> DataFrame:
+    """Score every whole text: doc_id, held_out, score, predicted, evidence.
 
     ``score`` is the calibrated vote of the k labelled examples of highest
     cosine (isotonic on leave-one-out votes, sampling corrected), ``evidence``
     the ids of the closest three, ``predicted`` whether the score reaches 0.5.
-    Texts without a learnt term, null and empty ones included, get the rate of
-    such examples. Null ids are held out; repeated rows give a row each; labels
-    that are null or repeat are ignored or the larger taken; without labels
-    every score is 0. Further columns are ignored unless in ``keep``. The
+    Vectors hold all terms: words in lower case without punctuation at their
+    edges, by ``Weights``. Texts that share no term with an example, null and
+    empty ones included, get what no vote gives. Null ids are held out; repeated
+    rows give a row each; labels that are null are ignored, of an id's labels
+    the larger is taken; without labels every score is 0. Further columns are
+    ignored, whatever their names. A text is scored whole at any length. The
     index is broadcast; its size is bounded by the parameters of ``train``.
     """
-    keep = keep or ["doc_id"]
-    votes = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds, **options))
-    rows = docs.select(F.col("text").cast("string").alias("__text"), *[F.col(c) for c in keep])
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double, evidence array<long>"
-    out = rows.mapInArrow(_score(votes), schema)
-    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == 0 if "doc_id" in keep else F.lit(False)
-    return out.select(*keep, held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+    out = _scored(docs, labels, ["doc_id"], folds, options).withColumn("doc_id", F.col("row.doc_id"))
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == 0
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, **options) -> DataFrame:
+    """The rows of ``docs`` whose score stays below 0.5, with all their columns as they are."""
+    out = _scored(docs, labels, docs.columns, folds, options).where("score < 0.5")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,12 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
 
 from lodestrata.llm import toxicity as tox
+from lodestrata.llm.common import EDGE_PUNCTUATION
 
 
 def test_held_out_rows(spark):
@@ -20,31 +23,103 @@ def test_held_out_rows(spark):
 
 def test_block_max_is_exact():
     rng = np.random.default_rng(2)
+    dense = np.zeros((700, 40))
     vectors = []
-    for _ in range(700):
+    for i in range(700):
         t = np.unique(rng.integers(0, 40, rng.integers(1, 9)))
-        vectors.append((t, rng.integers(1, 5, len(t))))
-    idf = rng.uniform(1, 3, 40)
-    index = tox.BlockMaxIndex(vectors, idf, block=16)
-    dense = np.zeros((700, 40))
-    for i, (t, c) in enumerate(vectors):
-        dense[i, t] = index.weigh(t, c)[1]
+        w = rng.uniform(0.1, 1, len(t)) * (1 + 3 * (t % 40 == i // 20))  # rows of a block are alike
+        vectors.append((t, w / np.sqrt((w * w).sum())))
+        dense[i, t] = vectors[-1][1]
+    index = tox.BlockMaxIndex(vectors, 40, block=16)
     for q in range(0, 700, 7):
         want = dense @ dense[q]
         want[q] = 0
         rows, cos = index.nearest(*vectors[q], 10, but=q)
         assert np.allclose(cos, np.sort(want)[::-1][:10]) and np.allclose(cos, want[rows])
+        assert [tuple(x) for x in zip(-cos, rows, strict=True)] == sorted(zip(-cos, rows, strict=True))
+
+
+def words_of(text):
+    out = []
+    for w in (text or "").lower().split():
+        w = w.strip(EDGE_PUNCTUATION)
+        if w:
+            out.append(w)
+    return Counter(out)
+
+
+def pooled(x, y, w):
+    """Isotonic fit by its min-max formula, at each point."""
+    order = np.argsort(x, kind="stable")
+    x, y, w = x[order], y[order], w[order]
+    cw, cy = np.concatenate([[0], np.cumsum(w)]), np.concatenate([[0], np.cumsum(w * y)])
+    n = len(x)
+    fit = np.empty(n)
+    for i in range(n):
+        fit[i] = max(min((cy[b] - cy[a]) / (cw[b] - cw[a]) for b in range(i + 1, n + 1)) for a in range(i + 1))
+    return x, fit
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    """All terms, dense cosines of every pair, all neighbours sorted: the same scores and evidence."""
+    t = pq.read_table(f"{sf_dir}/documents.parquet").to_pydict()
+    marks = pq.read_table(f"{sf_dir}/labels.parquet").to_pydict()
+    text = dict(zip(t["doc_id"], t["text"], strict=True))
+    learn = {i: v for i, v in zip(marks["doc_id"], marks["toxic"], strict=True) if i in text and zlib.crc32(str(i).encode()) % 5}
+    bags = {i: words_of(x) for i, x in text.items()}
+    one, zero = (Counter(w for i, v in learn.items() if v == c for w in bags[i]) for c in (1, 0))
+    n1 = sum(learn.values())
+    n0 = len(learn) - n1
+
+    def weight(w):
+        a, b = one[w], zero[w]
+        odds = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
+        z2 = odds**2 / (1 / (a + 0.5) + 1 / (b + 0.5)) if a + b else 0.0
+        return math.log((n1 + n0 + 1) / (a + b + 0.5)) * (0.02 + 0.98 * (z2 / (z2 + 4)) ** 2)
+
+    def unit(bag):
+        v = {w: (1 + math.log(n)) * weight(w) for w, n in bag.items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {w: x / norm for w, x in v.items()}
+
+    order = tox.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).ids  # only for ties
+    assert sorted(order) == sorted(learn)
+    units = {i: unit(b) for i, b in bags.items()}
+    y = np.array([learn[i] for i in order], dtype=float)
+    prior = y.mean()
+
+    def vote(i, but=None):
+        cos = [(-sum(x * units[j].get(w, 0.0) for w, x in units[i].items()), k) for k, j in enumerate(order) if j != but]
+        near = [(-c, k) for c, k in sorted((round(c, 12), k) for c, k in cos if c < 0)[:24]]
+        v = [c / (1.05 - c) for c, _ in near]
+        return (sum(a * y[k] for a, (_, k) in zip(v, near, strict=True)) + prior) / (sum(v) + 1), [order[k] for _, k in near[:3]]
+
+    raw = np.array([vote(i, i)[0] for i in order])
+    x, fit = pooled(raw, y, np.ones(len(y)))
+    pools = [(x[fit == f].mean(), f) for f in np.unique(fit)]
+    got = {r.doc_id: r for r in tox.op5_toxicity(spark, sf_dir).collect()}
+    assert set(got) == set(text)
+    wrong = 0
+    for i, r in got.items():
+        v, near = vote(i)
+        want = 0.95 * np.interp(v, *zip(*pools, strict=True)) + 0.05 * v
+        wrong += abs(want - r.score) > 1e-6 or sorted(near) != sorted(r.evidence)
+    assert wrong <= 0.01 * len(got)  # sums in another order may turn a tie
 
 
 def test_edge_cases(spark):
     docs = [(i, ("foul words here " if i % 2 else "kind words here ") * 3) for i in range(60)] + [(100, None), (101, ""), (None, "foul"), (102, "foul " * 50_000), (5, "kind")]
-    df = spark.createDataFrame([(*d, 0.5, 1) for d in docs], "doc_id long, text string, score double, y int")
+    df = spark.createDataFrame([(*d, 0.5, 1, "x", "e", 2, True) for d in docs], "doc_id long, text string, score double, y int, row string, evidence string, predicted int, held_out boolean")
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)] + [(3, 1, None), (None, 1, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
     out = tox.score_toxicity(df, labels).collect()
     assert len(out) == len(docs)
     by = {r.doc_id: r for r in out if r.doc_id not in (5, None)}
     assert by[102].predicted == 1 and by[7].predicted == 1 and by[8].predicted == 0 and by[100].score == by[101].score
     assert len(by[102].evidence) == 3
+    kept = tox.without_toxic(df, labels)
+    assert kept.columns == df.columns
+    bad = [d for d in docs if d[0] is not None and d[0] in by and by[d[0]].predicted]
+    assert sorted(str(tuple(r)) for r in kept.where("doc_id <> 5").collect()) == sorted(str((*d, 0.5, 1, "x", "e", 2, True)) for d in docs if d not in bad and d[0] not in (5, None))
     assert {r.score for r in tox.score_toxicity(df, labels.limit(0)).collect()} == {0.0}
     assert tox.score_toxicity(df.limit(0), labels).count() == 0
     assert tox.score_toxicity(df.select("doc_id", "text"), labels.where("toxic = 0")).where("predicted = 1").count() == 0
