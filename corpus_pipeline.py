@@ -9,7 +9,7 @@ from lodestrata.llm.common import materialise
 from lodestrata.llm.mixing import Mix, mix_sources
 from lodestrata.llm.packing import pack
 from lodestrata.llm.probminhash import near_duplicates
-from lodestrata.llm.toxicity import score_toxicity
+from lodestrata.llm.toxicity import without_toxic
 
 #: One epoch at most: the mixing stage gives no document twice.
 MIX = Mix(per_mille=700, max_epochs=1)
@@ -18,8 +18,7 @@ MIX = Mix(per_mille=700, max_epochs=1)
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below 0.5."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = score_toxicity(docs, labels, keep=docs.columns)
-    return scored.where("predicted = 0").select(*docs.columns)
+    return without_toxic(docs, labels)
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
