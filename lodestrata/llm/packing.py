@@ -69,44 +69,58 @@ def _tokenise(paths: tuple[str, str, str], end_id: int):
     return run
 
 
+#: Rows up to which a table of places by task and queue is broadcast: some 60 MB.
+FEW_PLACES = 500_000
+SPAN = 1024
+
+
 def _ids(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, dtype="<u2").astype("<u4") if len(blob) % 2 == 0 else np.frombuffer(blob, dtype="<u4", offset=1)
 
 
-def deficit_round_robin(sizes: list[int], supply: list[int], shares: list[float], carried: list[float], quantum: int) -> list[tuple[int, int, int, int]]:
+def deficit_round_robin(sizes: list[int], supply: list[int], shares: list[float], carried: list[float], quantum: int = 1) -> list[tuple[int, int, int, int]]:
     """Fill windows of the given sizes from queues: (window, offset, queue, tokens).
 
     Every window adds each waiting queue's share of it to that queue's deficit.
-    A queue is served once its deficit reaches ``quantum`` (or all it has left),
-    so that short shares wait and come in usable runs, and takes twice its share
-    of a window at most, so that an old debt is paid over many windows and
-    leaves each of them mixed; what room is left goes to the queues with the
-    most left for their share. Deficits run on from window to window.
+    A queue is served once its deficit reaches ``quantum`` (or all it has left)
+    and takes twice its share of a window at most, so that an old debt is paid
+    over many windows and leaves each of them mixed. Queues are served in turn,
+    each window starting one further on. Room that is left by rounding, debts
+    or waiting goes to the queues of the largest deficits, in parts of their
+    share, to those below twice their share first. Deficits run on from window to window.
     """
     left, deficit, runs = list(supply), list(carried), []
-    active = [q for q, n in enumerate(left) if n]
+    active, settled = [q for q, n in enumerate(left) if n], False
     for w, size in enumerate(sizes):
-        total = sum(shares[q] for q in active) or 1.0
-        even = not any(shares[q] for q in active)
+        total = sum(shares[q] for q in active)
+        part = {q: size * shares[q] / total if total else size / len(active) for q in active}
+        if not settled:  # what queues that have run dry are owed or owe falls to the others
+            over = sum(deficit[q] for q in active) / size
+            for q in active:
+                deficit[q] -= over * part[q]
+            settled = True
         for q in active:
-            deficit[q] += size / len(active) if even else size * shares[q] / total
+            deficit[q] += part[q]
         room, offset, taken = size, 0, {}
-        for q in active:
+        turn = w % len(active)
+        for q in active[turn:] + active[:turn]:
             if deficit[q] >= min(quantum, left[q]):
-                n = min(left[q], int(deficit[q]), room, max(quantum, int(2 * size * shares[q] / total)))
+                n = min(left[q], int(deficit[q]), room, max(quantum, int(2 * part[q])))
                 if n > 0:
                     taken[q] = n
                     room -= n
-                    if not room:
-                        break
-        if room:
-            for q in sorted(active, key=lambda q: ((taken.get(q, 0) - left[q]) / (shares[q] or 1e-12), q)):
-                n = min(left[q] - taken.get(q, 0), room)
-                if n > 0:
-                    taken[q] = taken.get(q, 0) + n
-                    room -= n
-                    if not room:
-                        break
+        capped = True
+        while room:
+            most = {q: min(left[q], max(quantum, int(2 * part[q]))) if capped else left[q] for q in active}
+            waiting = sorted((q for q in active if most[q] > taken.get(q, 0)), key=lambda q: (taken.get(q, 0) - deficit[q], q))
+            capped &= bool(waiting)
+            whole, at_once = sum(part[q] for q in waiting), room
+            for q in waiting:
+                n = min(most[q] - taken.get(q, 0), room, max(1, int(at_once * part[q] / whole) if whole else at_once))
+                taken[q] = taken.get(q, 0) + n
+                room -= n
+                if not room:
+                    break
         emptied = False
         for q in sorted(taken):
             runs.append((w, offset, q, taken[q]))
@@ -115,7 +129,7 @@ def deficit_round_robin(sizes: list[int], supply: list[int], shares: list[float]
             deficit[q] -= taken[q]
             emptied |= not left[q]
         if emptied:
-            active = [q for q in active if left[q]]
+            active, settled = [q for q in active if left[q]], False
     return runs
 
 
@@ -163,7 +177,7 @@ def default_paths() -> tuple[str, str, str]:
     return P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source", weights: dict | None = None, window: int = 1024, quantum: int = 64, end_id: int = 0, chunk_tokens: int = 8_000_000, tokenizer: tuple[str, str, str] | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source", weights: dict | None = None, window: int = 1024, quantum: int = 1, end_id: int = 0, chunk_tokens: int = 8_000_000, tokenizer: tuple[str, str, str] | None = None) -> DataFrame:
     """Cut documents into pieces and place them in sequences of at most ``window`` tokens.
 
     ``weights`` maps a queue's name to its target share; without it the target
@@ -175,7 +189,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", queue_
     chunk is the unit that one task packs. It starts with the deficits that the
     chunks before it leave (what a queue was due so far, less what it has had),
     and its last, partial window is cut into powers of two, so there is no
-    padding. Queues of share 0 follow when the others have run dry.
+    padding. Queues of share 0 follow when the others have run dry. Sources may
+    number some thousands: a chunk's state names each of them.
 
     A null text is empty (only the end id), a null queue is a queue of its own,
     a null id is kept; repeated rows are packed once each; an empty table gives
@@ -205,13 +220,21 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", queue_
     offsets = offsets.alias("o").join(share.alias("s"), F.expr("o.queue <=> s.queue")).select("o.task", F.col("o.queue").alias("of"), "o.offset", "s.rate", "s.first")
     # tokens of all queues that are due when each queue has had its rate for so long
     due = "aggregate(queues, 0D, (a, q) -> a + CASE WHEN q.first = {first} THEN least(q.rate * {time}, q.all) WHEN q.first THEN q.all ELSE 0D END)"
-    placed = tokens.alias("t").join(F.broadcast(offsets.alias("o")), F.expr("t.task = o.task AND t.queue <=> o.of")).select("t.queue", "t.doc_id", "t.n", "t.ids", "o.first", F.expr("(o.offset + t.at) / o.rate").alias("time"))
+    offsets = F.broadcast(offsets) if counts.count() <= FEW_PLACES else offsets
+    placed = tokens.alias("t").join(offsets.alias("o"), F.expr("t.task = o.task AND t.queue <=> o.of")).select("t.queue", "t.doc_id", "t.n", "t.ids", "o.first", F.expr("(o.offset + t.at) / o.rate").alias("time"))
     placed = placed.crossJoin(F.broadcast(queues)).withColumn("chunk", F.floor(F.expr(due.format(first="first", time="time")) / F.lit(chunk_tokens)).cast("long"))
     counts = materialise(placed.groupBy("chunk", "queue").agg(F.sum("n").alias("n"), F.min(F.when(F.col("first"), F.col("time"))).alias("time")), "pack-counts")
     chunks = placed.select("chunk", "queue", "doc_id", "n", "ids")
-    totals = counts.groupBy("chunk").agg(F.sum("n").alias("total"), F.min("time").alias("time"))
     sequences = F.expr(f"total div {window} + bit_count(total % {window})")
-    totals = totals.crossJoin(F.broadcast(queues)).select("chunk", "time", F.expr(due.format(first="true", time="time")).alias("due"), F.coalesce(F.sum("total").over(before.orderBy("chunk")), F.lit(0)).alias("so_far"), F.coalesce(F.sum(sequences).over(before.orderBy("chunk")), F.lit(0)).alias("first"))
+    totals = counts.groupBy("chunk").agg(F.sum("n").alias("total"), F.min("time").alias("time")).withColumn("sequences", sequences).withColumn("span", F.expr(f"chunk div {SPAN}"))
+    # running sums over spans of chunks, then within each: a span of 8 G tokens is one row here
+    so_far, first, spans = 0, 0, []
+    for r in totals.groupBy("span").agg(F.sum("total").alias("total"), F.sum("sequences").alias("sequences")).orderBy("span").collect():
+        spans.append((r.span, so_far, first))
+        so_far, first = so_far + r.total, first + r.sequences
+    spans = F.broadcast(docs.sparkSession.createDataFrame(spans, "span long, span_total long, span_first long"))
+    running = before.partitionBy("span").orderBy("chunk")
+    totals = totals.join(spans, "span").crossJoin(F.broadcast(queues)).select("chunk", "time", F.expr(due.format(first="true", time="time")).alias("due"), *[(F.col(f"span_{n}") + F.coalesce(F.sum(c).over(running), F.lit(0))).alias(n if n == "first" else "so_far") for n, c in (("total", "total"), ("first", "sequences"))])
     own = counts.withColumn("had", F.coalesce(F.sum("n").over(before.partitionBy("queue").orderBy("chunk")), F.lit(0)))
     state = own.alias("o").join(share.alias("s"), F.expr("o.queue <=> s.queue")).select("o.chunk", "o.queue", "o.had", "s.share", "s.rate", "s.all", F.col("s.first").alias("weighted")).join(totals, "chunk")
     entry = F.struct("queue", "share", F.expr("CASE WHEN weighted THEN least(rate * time, all) + share * (so_far - due) - had ELSE 0D END").alias("carried"))
