@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.llm import licenses, mixing
 from lodestrata.llm.queries import ORACLE, QUERIES
@@ -51,6 +52,15 @@ def test_shortages_go_to_siblings_first(spark):
     assert sum(v for k, v in got.items() if k[0] == "a") == 2010 and sum(v for k, v in got.items() if k[0] == "b") in (1598, 1599)
 
 
+@pytest.mark.parametrize("mix", [mixing.Mix(per_mille=900, max_epochs=3), mixing.Mix(languages={"en": 0, "fr": 5}, sources={"src1": 0}, domains={"domain2": 0}), mixing.Mix(per_mille=100, default=0, languages={"de": 3}, sources={"src3": 2, "src7": 1}, domains={"domain3": 1})])
+def test_other_mixes_against_sql(spark, sf_dir, mix):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = mixing.mix_sources(docs, mix, mixing.domain_of_source(F.col("source"))).selectExpr("doc_id", "mix_domain as domain", "lang", "source", "mix_tokens as n_tokens", "mix_epoch as epoch")
+    assert sorted(repr(tuple(r)) for r in got.collect()) == rows_of(con, mixing.op7_sql(mix), got.columns)
+
+
 def test_mixing_edge_cases(spark):
     rows = [(i, "w " * (i % 50), "en" if i % 2 else None, "s1" if i % 3 else None) for i in range(200)] + [(7, "w " * 7, "en", "s1"), (None, "a b", "de", ""), (300, None, "en", "s1"), (301, "w " * 30_000, "fr", "s9")]
     df = spark.createDataFrame([(*r, "d") for r in rows], "doc_id long, text string, lang string, source string, budget string")
@@ -58,6 +68,15 @@ def test_mixing_edge_cases(spark):
     total = sum(len((r[1] or "").split()) for r in rows)
     assert 0 < sum(r.mix_tokens for r in out) <= total // 2
     assert all(r.budget == "d" for r in out)
+    clash = df.selectExpr("*", "1 as mix_domain", "2 as mix_tokens", "3 as _d", "4 as _t", "5 as _key", "6 as _cut", "7 as row", "8 as tokens", "9 as epoch", "10 as mix_epoch")
+    same = mixing.mixed_documents(clash, mixing.Mix(per_mille=500))
+    assert same.columns == clash.columns and {tuple(r)[5:] for r in same.collect()} == {(1, 2, 3, 4, 5, 6, 7, 8, 9, 10)}
+    assert sorted(str(r.doc_id) for r in same.collect()) == sorted(str(r.doc_id) for r in out)
+    assert sorted(str(r.doc_id) for r in mixing.mix_sources(clash, mixing.Mix(per_mille=500)).collect()) == sorted(str(r.doc_id) for r in out)
+    none = mixing.mix_sources(df, mixing.Mix(languages={"en": 0}, per_mille=500)).collect()
+    assert none and all(r.lang != "en" for r in none)
+    assert mixing.mix_sources(df, mixing.Mix(languages={"en": 0, "fr": 0, "de": 0}, default=0)).count() == 0
+    assert {r.mix_domain for r in mixing.mix_sources(df.selectExpr("*", "'http://h.example/' || doc_id as url")).collect()} <= {"h.example", None}
     twice = mixing.mix_sources(df, mixing.Mix(per_mille=2000, max_epochs=3)).collect()
     assert max(r.mix_epoch for r in twice) == 2
     assert mixing.mix_sources(df.limit(0)).count() == 0
