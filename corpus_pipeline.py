@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import materialise
-from lodestrata.llm.mixing import Mix, mix_sources
+from lodestrata.llm.mixing import Mix, mixed_documents
 from lodestrata.llm.packing import pack
 from lodestrata.llm.probminhash import near_duplicates
 from lodestrata.llm.toxicity import without_toxic
@@ -29,7 +29,7 @@ def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A token prefix of each domain-language-source leaf, at target weights."""
-    return mix_sources(docs, MIX).select(*docs.columns)
+    return mixed_documents(docs, MIX)
 
 
 def pack_sequences(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
