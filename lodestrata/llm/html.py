@@ -14,54 +14,51 @@ from .common import slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never main text.
-BOILERPLATE = frozenset("aside button dialog fieldset footer form head iframe menu nav noscript object option script select style svg template textarea title".split())
+BOILERPLATE = frozenset("aside button dialog footer head iframe menu nav noscript object option script select style svg template textarea title".split())
 #: Elements that don't end a line of text.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements whose end tag is often left out; the next block ends them.
 LOOSE = frozenset("p h1 h2 h3 h4 h5 h6 dt dd".split())
 SEMANTIC = frozenset(("article", "main"))
-#: Words of class, id and role names that mark boilerplate.
-HINTS = frozenset(
-    "ad ads adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disqus disclaimer footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
+#: Names that say, as a whole class, id or role, what an element is. They weigh only against elements with less than half of the page's text.
+NAMED = frozenset(
+    "ad ad-banner ad-container ad-slot ads advert advertisement adverts banner breadcrumb breadcrumbs comment-list comments complementary contentinfo cookie-banner cookie-consent cookie-notice dialog footer header menu nav navbar navigation newsletter notice search share sidebar social sponsored widget".split()
 )
-ARTICLE_HINTS = HINTS - frozenset("header footer banner sidebar nav menu search social share".split())
-_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+HARD, SOFT = 2, 1
 
 
 class Lines(HTMLParser):
     """Streams a page into lines: text, tags met, characters in links, the container around it, and whether it is boilerplate.
 
     Containers are numbered as they open, so a parent's number is always the
-    smaller one; ``parent`` and ``semantic`` (inside an article or main
-    element) go by that number.
+    smaller one; ``parent``, ``semantic`` (inside an article or main element)
+    and ``why`` go by that number. ``why`` is HARD for elements that are never
+    main text, SOFT for forms and for names in ``NAMED``, else 0.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, str]] = []  # tag, its number, why it and all inside is skipped: tag, hint or nothing
+        self.stack: list[tuple[str, int]] = []  # tag and number
         self.open: dict[str, int] = {}
-        self.parent, self.semantic = [0], [False]
+        self.parent, self.semantic, self.why = [0], [False], [0]
         self.roots: set[int] = set()
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
         self.tags, self.linked, self.links = 0, 0, 0
 
     def cut(self):
         text = " ".join("".join(self.parts).split())
         if text or self.tags:
-            _, number, why = self.stack[-1] if self.stack else ("", 0, "")
-            self.lines.append((text, self.tags, self.linked, number, bool(why)))
+            self.lines.append((text, self.tags, self.linked, self.stack[-1][1] if self.stack else 0))
         self.parts, self.tags, self.linked = [], 0, 0
 
-    def why(self, tag: str, attrs: dict[str, str | None]) -> str:
+    def reason(self, tag: str, attrs: dict[str, str | None]) -> int:
         if tag in BOILERPLATE or tag == "header" and not any(self.open.get(t) for t in SEMANTIC):
-            return "tag"
+            return HARD
         if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style") or ""):
-            return "tag"
-        if tag in ("html", "body", "main"):
-            return ""
-        words = {w.lower() for name in ("class", "id", "role") for w in _NAME.findall(attrs.get(name) or "")}
-        return "hint" if words & (ARTICLE_HINTS if tag == "article" else HINTS) else ""
+            return HARD
+        names = {w for name in ("class", "id", "role") for w in (attrs.get(name) or "").lower().split()}
+        return SOFT if tag == "form" or tag not in ("html", "body", "main") and names & NAMED else 0
 
     def pop(self, down_to: int):
         for tag, *_ in self.stack[down_to:]:
@@ -78,19 +75,17 @@ class Lines(HTMLParser):
             return
         if tag not in INLINE and self.stack and self.stack[-1][0] in LOOSE:
             self.pop(len(self.stack) - 1)
-        why = self.why(tag, dict(attrs))
-        if tag in SEMANTIC and not why and self.stack and self.stack[-1][2] == "hint":
-            # a name like "with-sidebar" around the article itself says nothing about the article
-            self.stack = [(t, n, "" if s == "hint" else s) for t, n, s in self.stack]
+        why = self.reason(tag, dict(attrs))
         if (tag in INLINE or tag in LOOSE) and not why:
             return
-        parent, above = self.stack[-1][1:] if self.stack else (0, "")
+        parent = self.stack[-1][1] if self.stack else 0
         number = len(self.parent)
         self.parent.append(parent)
         self.semantic.append(self.semantic[parent] or tag in SEMANTIC)
         if tag in SEMANTIC:
             self.roots.add(number)
-        self.stack.append((tag, number, "tag" if "tag" in (above, why) else above or why))
+        self.why.append(why)
+        self.stack.append((tag, number))
         self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
@@ -130,17 +125,41 @@ def smooth(ratio: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(np.pad(ratio, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def main_text(html: str | None, sigma: float = 1.0, chunk: int = 1 << 16) -> str:
+def _sums(parser: Lines, values) -> list[float]:
+    """A value of each line, summed over the lines in each container and below."""
+    out = [0.0] * len(parser.parent)
+    for (*_, at), v in zip(parser.lines, values, strict=True):
+        out[at] += v
+    for n in range(len(out) - 1, 0, -1):
+        out[parser.parent[n]] += out[n]
+    return out
+
+
+def _skipped(parser: Lines, prose: list[float], semantic: list[float]) -> list[bool]:
+    """Containers that aren't main text.
+
+    A soft reason doesn't count against an element with most of the page's
+    prose, unless there is prose in an article or main element outside it.
+    """
+    out = [False] * len(parser.parent)
+    for n in range(1, len(out)):
+        soft = parser.why[n] == SOFT and (prose[n] * 2 <= prose[0] or semantic[n] < semantic[0])
+        out[n] = out[parser.parent[n]] or parser.why[n] == HARD or soft
+    return out
+
+
+def main_text(html: str | None, sigma: float = 1.0, chunk: int = 1 << 16, ratios=None) -> str:
     """The main text of one page, blocks joined by a space.
 
     Each line of the page gets its ratio of text to tags; the ratios are
     smoothed by a Gaussian and those above their standard deviation form the
-    content clusters. Clusters outside boilerplate elements vote by length for
-    the container that holds the text: the deepest with over half of it, then
-    up to an article or main element around it, or as far as a parent adds
-    clusters. Every line of that container comes out, short ones too; where no
-    element marks an article, the lines between the first and last cluster do,
-    without lists of links.
+    content clusters, which choose the container that holds the text: they vote
+    by length, those inside an article or main element threefold, for the
+    deepest container with over half of the votes. From there it goes up to an
+    article or main element around it or, without one, as long as a parent adds
+    a sixth of the votes. Every line of that container comes out, short ones
+    too, but for boilerplate elements and runs of links outside the clusters.
+    ``ratios`` may replace the ratios, for tests.
     """
     if not html:
         return ""
@@ -152,33 +171,40 @@ def main_text(html: str | None, sigma: float = 1.0, chunk: int = 1 << 16) -> str
     if not any(text for text, *_ in lines):
         return ""
     ratio = np.array([len(text) / max(1, tags) for text, tags, *_ in lines])
-    level = smooth(ratio, sigma)
+    level = smooth(ratio if ratios is None else ratios(ratio), sigma)
     content = level >= min(level.std(), level.max())
-    votes = [0] * len(parser.parent)
-    for k, (text, _, linked, at, skipped) in enumerate(lines):
-        if text and not skipped and (content[k] or parser.semantic[at]) and linked * 2 <= len(text):
-            votes[at] += len(text)
-    for n in range(len(votes) - 1, 0, -1):
-        votes[parser.parent[n]] += votes[n]
+    linked = [n * 2 > len(text) for text, _, n, _ in lines]
+    hard = [why == HARD for why in parser.why]
+    for n in range(1, len(hard)):
+        hard[n] |= hard[parser.parent[n]]
+    prose = [len(text) * (not hard[at] and not linked[k]) for k, (text, _, _, at) in enumerate(lines)]
+    in_semantic = [n * parser.semantic[at] for n, (*_, at) in zip(prose, lines, strict=True)]
+    skipped = _skipped(parser, _sums(parser, [n * bool(c) for n, c in zip(prose, content, strict=True)]), _sums(parser, in_semantic))
+    weight = [(3 if parser.semantic[at] else 1) * n * (not skipped[at]) for n, (*_, at) in zip(prose, lines, strict=True)]
+    votes = _sums(parser, [n * bool(c) for n, c in zip(weight, content, strict=True)])
+    if not votes[0]:  # no cluster outside boilerplate: all other lines vote
+        votes = _sums(parser, weight if any(weight) else [len(text) * (not skipped[at]) for text, _, _, at in lines])
     if not votes[0]:
         return ""
     best = max(n for n, v in enumerate(votes) if v * 2 > votes[0])
-    up, around = best, []
-    while up:
-        around += [up] if up in parser.roots else []
+    up = best
+    while up and up not in parser.roots:
         up = parser.parent[up]
-    chosen = around[0] if around else best
-    while not around and chosen and votes[parser.parent[chosen]] > votes[best]:
-        chosen = parser.parent[chosen]
+    chosen = up or best
+    if not up:
+        above = parser.parent[chosen]
+        while chosen:
+            if votes[above] * 6 >= votes[chosen] * 7:
+                chosen = above
+            if not above:
+                break
+            above = parser.parent[above]
     inside = [False] * len(votes)
     for n in range(len(votes)):
         inside[n] = n == chosen or inside[parser.parent[n]]
-    mine = [k for k, (text, _, _, at, skipped) in enumerate(lines) if text and not skipped and inside[at]]
-    if not around:
-        prose = [k for k in mine if lines[k][2] * 2 <= len(lines[k][0])]
-        seeds = [k for k in prose if content[k]]
-        mine = [k for k in prose if seeds[0] <= k <= seeds[-1]] if seeds else prose
-    return " ".join(lines[k][0] for k in mine)
+    mine = [k for k, (text, _, _, at) in enumerate(lines) if text and not skipped[at] and inside[at]]
+    menu = [linked[k] and not content[k] for k in mine]
+    return " ".join(lines[k][0] for j, k in enumerate(mine) if not (menu[j] and (any(menu[max(0, j - 1) : j]) or any(menu[j + 1 : j + 2]))))
 
 
 def _extract(sigma: float):

@@ -33,6 +33,44 @@ def test_pages_without_an_article_element():
     assert main_text(page) == " ".join(f"{long} Short. {long}".split())
 
 
+LONG = "Plenty of running words make up this paragraph of the text. " * 4
+
+
+def test_the_ratios_choose_where_no_element_tells():
+    """The pages with all telling elements and names made plain ones: the clusters find the text, ratios turned upside down find less of it."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    want = [main_text(p) for p in pages]
+    bare = []
+    for p in pages:
+        for tag in ("article", "nav", "footer"):
+            p = p.replace(f"<{tag}>", "<div>").replace(f"</{tag}>", "</div>")
+        bare.append(p.replace('class="ad"', 'class="x1"'))
+    good = sum(main_text(p) == w for p, w in zip(bare, want, strict=True))
+    upside_down = sum(main_text(p, ratios=lambda r: 1 / (1 + r)) == w for p, w in zip(bare, want, strict=True))
+    assert good >= 0.85 * len(pages) and upside_down < good - 0.03 * len(pages)
+
+
+def test_names_that_only_sound_like_boilerplate():
+    flat = " ".join(LONG.split())
+    assert main_text(f'<body><nav>Home</nav><div class="share-page"><p>{LONG}</div></body>') == flat
+    assert main_text(f'<article><p>{LONG}<div class="search-results-discussion"><p>On search {LONG}</div></article>') == f"{flat} On search {flat}"
+    assert main_text(f'<div class="page-with-sidebar has-widget"><form action=x><article><p>{LONG}</article></form></div>') == flat
+    assert main_text(f'<body class="ad"><div id="header"><div class="notice"><p>{LONG}</div></div></body>') == flat  # most of the page's text is there
+    assert main_text(f'<article><p>{LONG}<p class="lead comment">{LONG}</article>') == f"{flat} {flat}"
+
+
+def test_without_semantic_elements():
+    flat = " ".join(LONG.split())
+    two = f"<body><ul><li><a href=1>One</a><li><a href=2>Two</a></ul><div class=row><div class=c1><div class=in><p>{LONG}<p>{LONG}<p>{LONG}</div></div><div class=c2><div class=in><p>{LONG}<p>{LONG}</div></div></div></body>"
+    assert main_text(two) == " ".join([flat] * 5)
+    heads = f"<body><div id=story><h1>Head</h1><p>{LONG}<p>Mid.<p>{LONG}<p>See <a href=3>this long link</a><p>End.</div><div><a href=4>x</a><a href=5>y</a></div></body>"
+    assert main_text(heads) == f"Head {flat} Mid. {flat} See this long link End."
+    small = f"<body><div class=top>Short offer of today for all of you</div><div><p>{LONG}<p>{LONG}</div><section id=comments><p>{LONG}</section></body>"
+    assert main_text(small) == f"{flat} {flat}"
+    assert main_text(f"<form><p>{LONG}</form>") == flat
+    assert main_text("<body><p>Only a word</p></body>") == "Only a word"
+
+
 def test_nulls_broken_and_long_pages(spark):
     rows = [(1, None, None), (2, "u", ""), (None, "u", "<p>just text"), (4, "u", "<article><p>cut &amp; off <b"), (5, "u", "<article>" + "<p>word " * 30_000), (5, "u", "plain"), (6, "u", "<div>" * 3000 + "deep")]
     df = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
