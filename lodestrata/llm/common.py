@@ -97,15 +97,15 @@ def release(*frames: DataFrame) -> None:
 
 
 @contextlib.contextmanager
-def working_tables(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end all working tables written within: for results that have been written out by then."""
+def working_tables(spark: SparkSession, but: int = 0) -> Iterator[None]:
+    """Deletes at its end the working tables written within, but for so many of the last: what isn't written out by then must not need them."""
     held: list[str] = []
     _tables.append(held)
     try:
         yield
     finally:
         _tables.remove(held)
-        for path in held:
+        for path in held[: len(held) - but]:
             _delete(spark, path)
 
 

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -9,8 +11,17 @@ from lodestrata.llm.common import EDGE_PUNCTUATION, connected_components
 
 
 def grams(text):
+    """5-word shingles, weighted by 1 + ln of their counts."""
     words = [w for w in (x.strip(EDGE_PUNCTUATION) for x in (text or "").lower().split()) if w]
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    found = Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else {}
+    return {g: 1 + math.log(n) for g, n in found.items()}
+
+
+def jaccard(s, t):
+    """Probability Jaccard as defined, term by term."""
+    every = list(s | t)
+    x, y = (np.array([m.get(g, 0.0) for g in every]) for m in (s, t))
+    return sum(1 / np.maximum(x / x[k], y / y[k]).sum() for k in np.nonzero((x > 0) & (y > 0))[0].tolist())
 
 
 def brute(rows, threshold=0.8):
@@ -30,7 +41,8 @@ def brute(rows, threshold=0.8):
         near = {m for g in s for m in index[g] if m < n}
         for m in near:
             j, t = sets[m]
-            if len(s & t) >= threshold * len(s | t) - 1e-9:
+            common = s.keys() & t.keys()
+            if min(sum(s[g] for g in common) / sum(s.values()), sum(t[g] for g in common) / sum(t.values())) >= threshold - 1e-9 and jaccard(s, t) >= threshold - 1e-9:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: find(i) for i in root}
@@ -78,6 +90,38 @@ def test_lines_repeated_unequally_often(spark):
     assert got == {i: i - i % 2 for i in range(80)} == brute(rows)
 
 
+def test_exact_probability_jaccard():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        s, t = ({int(k): float(rng.choice([1, 1, 1, 1.7, 2.1, 5])) for k in rng.choice(40, rng.integers(1, 40), replace=False)} for _ in range(2))
+        sides = [(np.array(sorted(m), dtype=np.uint64), np.array([m[k] for k in sorted(m)])) for m in (s, t)]
+        assert abs(pmh.probability_jaccard(*sides[0], *sides[1]) - jaccard(s, t)) < 1e-12
+        assert abs(pmh.probability_jaccard(*sides[0], sides[0][0], 3 * sides[0][1]) - 1) < 1e-12
+
+
+def test_repeated_lines_near_the_threshold(spark):
+    """Copies that differ in how often they repeat a line, on either side of the weighted threshold, not of the plain one."""
+    rows = []
+    for i in range(60):
+        body, line = (" ".join(f"{c}{i}w{k}" for k in range(n)) for c, n in (("b", 60), ("l", 25)))
+        rows += [(2 * i, " ".join([body] + [line] * 2)), (2 * i + 1, " ".join([body] + [line] * (2 + i)))]
+    want = brute(rows)
+    assert 5 < sum(want[2 * i + 1] == 2 * i for i in range(60)) < 50
+    assert classes(pmh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+
+
+def test_rows_that_stay(spark):
+    long = " ".join(f"w{k}" for k in range(200))
+    rows = [(5, "some text of its own here"), (5, "another text that is not alike at all"), (1, long), (1, long), (2, long + " more"), (None, long), (None, "no id one two three"), (None, "no id one two three"), (9, None), (9, None), (7, ""), (None, None)]
+    df = spark.createDataFrame([(*r, "k", 1, "r", True, 2) for r in rows], "doc_id long, text string, key string, n_rows int, row string, kept boolean, gone int")
+    out = pmh.without_near_duplicates(df)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id or -1, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(5, "another text that is not alike at all"), (1, long), (-1, "no id one two three"), (9, None), (7, ""), (-1, None)], key=str)
+    assert {tuple(r)[2:] for r in out.collect()} == {("k", 1, "r", True, 2)}
+    assert pmh.without_near_duplicates(df.limit(0)).count() == 0
+
+
 def test_registers_estimate_probability_jaccard():
     a, b = {i: 1 + i % 3 for i in range(300)}, {i: 1 + i % 3 for i in range(60, 360)}
     row = np.repeat([0, 1], [300, 300])
