@@ -2,138 +2,284 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 from .vectors import matrix, pack, unpack
 
+PLACED = "vec_id long, is_query boolean, cell int, far double, qcell int, qfar double, x binary"
+WIDE = 640  # digits that hold any sum of products of doubles
+
+
+def _scaled(width: int, scale: float):
+    """Whole vectors on the integer grid, with their squared length and largest component."""
 
-def _assign(width: int, scale: float, pivots: np.ndarray | None):
     def run(batches):
         for batch in batches:
             ok, x = matrix(batch.column(1), width)
-            x = np.floor(x * scale)
-            ids = batch.column(0).filter(pa.array(ok))
-            if pivots is None:
-                cell, far = np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
-            else:
-                d2 = (x * x).sum(1)[:, None] - 2 * x @ pivots.T + (pivots * pivots).sum(1)
-                cell = d2.argmin(1) if len(x) else np.zeros(0, dtype=np.int64)
-                far = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), batch.column(2).filter(pa.array(ok)), pa.array(cell, pa.int32()), pa.array(far), pa.array(pack(x.astype("<f8")), pa.binary())], names=["vec_id", "is_query", "cell", "far", "x"])
+            with np.errstate(over="ignore"):
+                x = np.floor(x * scale) + 0.0
+                fits = np.isfinite(x).all(1)
+                ok[np.nonzero(ok)[0][~fits]] = False
+                x = x[fits]
+                mask = pa.array(ok)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask).cast(pa.int64()), batch.column(2).filter(mask), pa.array((x * x).sum(1)), pa.array(np.abs(x).max(1, initial=0.0)), pa.array(pack(x.astype("<f8")), pa.binary())], names=["vec_id", "is_query", "n2", "most", "x"])
 
     return run
 
 
-def _block(_, rows):
-    """A group's rows as one row: ids and vectors in one piece each."""
-    ids = np.asarray(rows.column("vec_id"), dtype="<i8")
-    return pa.table({"cell": [rows.column("cell")[0].as_py()], "part": [rows.column("part")[0].as_py()], "n": pa.array([len(ids)], pa.int64()), "ids": [ids.tobytes()], "xs": [b"".join(rows.column("x").to_pylist())]}, schema=pa.schema([("cell", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("ids", pa.binary()), ("xs", pa.binary())]))
+def lifted(x: np.ndarray, longest: float) -> np.ndarray:
+    """Data vectors with one more component, by which all get the length ``longest``: a larger inner product with a query is then a smaller distance from it."""
+    return np.concatenate([x, np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0.0))[:, None]], axis=1)
+
+
+def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    d2 = (x * x).sum(1)[:, None] - 2 * x @ pivots.T + (pivots * pivots).sum(1)
+    return np.sqrt(np.maximum(d2, 0.0))
 
 
-def _targets(width: int, k: int, pivots: np.ndarray, cells: np.ndarray, radius: np.ndarray, near: list[np.ndarray]):
-    """For each group of queries, the cells that may hold one of their k best, from the cells' summaries alone."""
-    slack = 1e-6
-    least_far = np.concatenate(near) if near else np.zeros(0)
-    owner = np.repeat(np.arange(len(cells)), [len(x) for x in near])
+def neighbourhoods(pivots: np.ndarray, sizes: np.ndarray, most: int) -> list[list[int]]:
+    """Cells in groups of up to ``most`` members or of one cell: halved across the longest axis until they fit."""
+    out, todo = [], [np.arange(len(pivots))] if len(pivots) else []
+    while todo:
+        part = todo.pop()
+        if len(part) == 1 or sizes[part].sum() <= most:
+            out.append(part.tolist())
+            continue
+        x = pivots[part] - pivots[part].mean(0)
+        order = np.argsort(x @ np.linalg.svd(x, full_matrices=False)[2][0] if np.isfinite(x).all() else part, kind="stable")
+        half = int(np.clip(np.searchsorted(np.cumsum(sizes[part[order]]), sizes[part].sum() / 2), 1, len(part) - 1))
+        todo += [part[order[:half]], part[order[half:]]]
+    return out
+
+
+def _place(width: int, pivots, longest: float):
+    """The cell of each row as data and, for queries, as a query (whose further component is 0)."""
 
     def run(batches):
+        p = pivots.value
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for group, (ids, xs) in enumerate(zip(batch.column("ids").to_pylist(), batch.column("xs").to_pylist(), strict=True)):
-                q = np.frombuffer(xs, dtype="<f8").reshape(-1, width)
-                at = q @ pivots[cells].T
-                norm = np.sqrt((q * q).sum(1))[:, None]
-                # a member at distance d from its pivot scores at least <q,p> - |q| d; one of them may be the query itself
-                sure = np.sort(at[:, owner] - norm * least_far, axis=1)
-                bound = sure[:, -(k + 1)] if sure.shape[1] > k else np.full(len(q), -np.inf)
-                need = (at + norm * radius >= (bound - slack * (1 + np.abs(bound)))[:, None]) | ~np.isfinite(at)
-                for c in np.nonzero(need.any(0))[0]:
-                    mine = need[:, c]
-                    out[0].append(int(cells[c]))
-                    out[1].append(batch.column("cell")[group].as_py())
-                    out[2].append(int(mine.sum()))
-                    out[3].append(np.frombuffer(ids, dtype="<i8")[mine].tobytes())
-                    out[4].append(q[mine].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["cell", "from_cell", "nq", "qids", "qs"])
+            x = unpack(batch.column("x"), "<f8", width)
+            far = distances(lifted(x, longest), p)
+            qfar = distances(np.concatenate([x, np.zeros((len(x), 1))], axis=1), p)
+            cell, qcell, at = far.argmin(1), qfar.argmin(1), np.arange(len(x))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("is_query"), pa.array(cell, pa.int32()), pa.array(far[at, cell]), pa.array(qcell, pa.int32()), pa.array(qfar[at, qcell]), batch.column("x")], names=["vec_id", "is_query", "cell", "far", "qcell", "qfar", "x"])
 
     return run
 
 
-def _solve(width: int, k: int):
+def reaches(k: int, pivots: np.ndarray, near: list[tuple[int, np.ndarray]], queries: list[tuple[int, float]]) -> np.ndarray:
+    """For each cell of queries the distance from its pivot beyond which no row can be among the k nearest of any of its queries.
+
+    A query at most r from its pivot has a member of another cell, at f from
+    its own, no farther than r + the pivots' distance + f. The (k+1)-th
+    smallest of these bounds (one member may be the query itself) is over the
+    k-th nearest; a row beyond it by another r can't come in.
+    """
+    far = np.concatenate([f for _, f in near]) if near else np.zeros(0)
+    owner = np.repeat(np.arange(len(near)), [len(f) for _, f in near])
+    members = pivots[[c for c, _ in near]]
+    out = np.full(len(queries), np.inf)
+    if len(far) > k:
+        for a in range(0, len(queries), 256):
+            part = queries[a : a + 256]
+            between = distances(pivots[[c for c, _ in part]], members)
+            bound = between[:, owner] + far
+            kth = np.partition(bound, k, axis=1)[:, k]
+            out[a : a + len(part)] = kth + 2 * np.array([r for _, r in part])
+    return out * (1 + 1e-9) + 1e-6
+
+
+def _replicate(width: int, pivots, longest: float, cells: np.ndarray, reach: np.ndarray, groups: list[np.ndarray], block_rows: int):
+    """Blocks of the rows that each group of queries needs: those within the reach of one of its cells."""
+
     def run(batches):
+        p = pivots.value[cells]
+        number = 0
+        for batch in batches:
+            ids, blobs = np.asarray(batch.column("vec_id")), unpack(batch.column("x"), "<f8", width)
+            for at in range(0, len(ids), block_rows):
+                x, mine = blobs[at : at + block_rows], ids[at : at + block_rows]
+                need = distances(lifted(x, longest), p) <= reach
+                out: list[list] = [[], [], [], []]
+                for g, members in enumerate(groups):
+                    wanted = need[:, members].any(1)
+                    if wanted.any():
+                        for column, value in zip(out, (g, number, mine[wanted].astype("<i8").tobytes(), x[wanted].tobytes()), strict=True):
+                            column.append(value)
+                number += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["g", "number", "ids", "xs"])
+
+    return run
+
+
+def _queries(_, rows):
+    """A group's queries as one row: ids and vectors in one piece each."""
+    ids = np.asarray(rows.column("vec_id"), dtype="<i8")
+    return pa.table({"g": rows.column("g").slice(0, 1), "qids": pa.array([ids.tobytes()], pa.binary()), "qs": pa.array([b"".join(rows.column("x").to_pylist())], pa.binary())})
+
+
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products of integer-valued vectors: int64, or Python integers where they might not fit."""
+    most = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1]
+    if most < 2**53:
+        return (q @ x.T).astype(np.int64)  # products and sums are exact
+    if most < 2**62:
+        return q.astype(np.int64) @ x.astype(np.int64).T
+    whole = np.frompyfunc(int, 1, 1)
+    return whole(q) @ whole(x).T
+
+
+def _best(scores, ids, k: int) -> np.ndarray:
+    """Places of the k highest scores, ties to the smaller id."""
+    if scores.dtype != object and len(scores) > k:
+        limit = np.partition(scores, len(scores) - k)[len(scores) - k]
+        some = np.nonzero(scores >= limit)[0]
+        return some[np.lexsort((ids[some], -scores[some]))][:k]
+    return np.array(sorted(range(len(scores)), key=lambda i: (-int(scores[i]), ids[i]))[:k], dtype=np.int64)
+
+
+def _solve(width: int, k: int, wide: bool, most_held: int = 500_000):
+    """Each block against the queries that need it; a task passes on the k best of a query that it has met."""
+
+    def flush(held):
+        qs, vs, ss = (np.concatenate([h[c] for h in held]) for c in range(3))
+        order = np.array(sorted(range(len(qs)), key=lambda i: (qs[i], -int(ss[i]), vs[i])), dtype=np.int64) if wide else np.lexsort((vs, -ss, qs))
+        qs, vs, ss = qs[order], vs[order], ss[order]
+        first = np.searchsorted(qs, qs)
+        top = np.arange(len(qs)) - first < k
+        return qs[top], vs[top], ss[top]
+
+    def batch_of(qs, vs, ss):
+        exact = [str(int(s)) for s in ss] if wide else [None] * len(ss)
+        # as text, zero-filled and lifted above 0, integers of any size sort as they are
+        order = [str(int(s) + 10**WIDE).zfill(WIDE + 1) for s in ss] if wide else [None] * len(ss)
+        scores = pa.array([int(s) if abs(int(s)) < 2**63 else None for s in ss], pa.int64()) if wide else pa.array(ss, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(vs, pa.int64()), scores, pa.array(exact, pa.string()), pa.array(order, pa.string())], names=["query_id", "vec_id", "score", "exact", "place"])
+
+    def run(batches):
+        held, many = [], 0
         for batch in batches:
             for qids, qs, ids, xs in zip(*(batch.column(n).to_pylist() for n in ("qids", "qs", "ids", "xs")), strict=True):
                 q, x = np.frombuffer(qs, dtype="<f8").reshape(-1, width), np.frombuffer(xs, dtype="<f8").reshape(-1, width)
                 qi, xi = np.frombuffer(qids, dtype="<i8"), np.frombuffer(ids, dtype="<i8")
-                order = np.argsort(xi, kind="stable")
-                x, xi = x[order], xi[order]
-                big = max(np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * width, 1)
-                # float64 products of integers are exact below 2^53
-                score = (q @ x.T).astype(np.int64) if big < 2**53 else (q.astype(np.int64) @ x.astype(np.int64).T if big < 2**62 else np.array([[min(max(sum(int(a) * int(b) for a, b in zip(u, v, strict=True)), -(2**63) + 1), 2**63 - 1) for v in x] for u in q], dtype=np.int64))
-                best: list[list] = [[], [], []]
-                floor = np.iinfo(np.int64).min
+                score = products(q, x)
                 for row in range(len(qi)):
-                    s = np.where(xi == qi[row], floor, score[row])
-                    if len(s) > k:
-                        limit = np.partition(s, len(s) - k)[len(s) - k]
-                        picked = np.concatenate([np.nonzero(s > limit)[0], np.nonzero(s == limit)[0]])[:k]
-                    else:
-                        picked = np.arange(len(s))
-                    picked = picked[xi[picked] != qi[row]]
-                    best[0].append(np.full(len(picked), qi[row]))
-                    best[1].append(xi[picked])
-                    best[2].append(s[picked])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0), pa.int64()) for c in best], names=["query_id", "vec_id", "score"])
+                    top = _best(score[row], xi, k + 1)  # one may be the query's own
+                    top = top[xi[top] != qi[row]][:k]
+                    held.append((np.full(len(top), qi[row]), xi[top], score[row][top].astype(object if wide else np.int64)))
+                    many += len(top)
+                if many > most_held:
+                    held = [flush(held)]
+                    many = len(held[0][0])
+                    if many > most_held // 2:
+                        yield batch_of(*held[0])
+                        held, many = [], 0
+        if held:
+            yield batch_of(*flush(held))
 
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, n_pivots: int = 48, block_rows: int = 1024, query_rows: int = 256) -> DataFrame:
-    """The k rows of highest integer inner product for each query: query_id, rank, vec_id, score.
-
-    Components become floor(scale * x). Rows are grouped by their nearest of
-    ``n_pivots`` pivots (a bounded sample: the rows of smallest id hash, for
-    speed only). A cell's summary is its radius and its k+1 smallest distances;
-    from all summaries (bounded by the number of pivots) each query gets a lower
-    bound of its k-th score, and goes only to cells that can reach it. Of the
-    two sides it is the queries, the smaller one, that are replicated. Cells are
-    kept in blocks of about ``block_rows`` rows, by a hash of the id, so a very
-    common vector fills many blocks and not one task. Blocks are solved by one
-    matrix product, then the blocks' best are merged.
-
-    Vectors that are null, empty or hold null or non-finite components, and
-    rows without an id, take no part; shorter vectors are filled up with
-    zeros. Ties go to the smaller id. A query never meets a row of its own id;
-    repeated rows of one id are counted once. Further columns are ignored.
-    """
+def _join(vectors: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str, scale: float, n_pivots: int | None, block_rows: int, query_rows: int):
+    """The groups of queries and the blocks they need, each with ``g`` and ``salt``; the width and whether scores may outgrow 64 bits."""
+    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where("vec_id is not null")
-    width = rows.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("w")).first().w
-    width = max(int(width), 1)
-    schema = "vec_id long, is_query boolean, cell int, far double, x binary"
-    sample = rows.withColumn("h", F.xxhash64("vec_id")).orderBy("h", "vec_id").limit(n_pivots).select("vec_id", "embedding", "is_query")
-    picked = sample.mapInArrow(_assign(width, scale, None), schema).select("x").collect()
+    width = max(1, int(rows.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("w")).first().w))
+    whole = rows.mapInArrow(_scaled(width, scale), "vec_id long, is_query boolean, n2 double, most double, x binary")
+    whole = materialise(whole.groupBy("vec_id").agg(F.min(F.struct("x", "n2", "most")).alias("m"), F.max("is_query").alias("is_query")).select("vec_id", "is_query", "m.*"), "knn")
+    stats = whole.agg(F.count("*").alias("n"), F.coalesce(F.max("n2"), F.lit(0.0)).alias("n2"), F.coalesce(F.max("most"), F.lit(0.0)).alias("most"), F.coalesce(F.sum(F.col("is_query").cast("long")), F.lit(0)).alias("queries")).first()
+    longest, wide = math.sqrt(stats.n2) if math.isfinite(stats.n2) else math.inf, not stats.most < math.sqrt(2**62 / width)
+    picked = whole.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots or max(8, math.isqrt(max(0, stats.n - 1)) + 1)).select("x").collect()
     pivots = np.unique(np.stack([np.frombuffer(r.x, dtype="<f8") for r in picked]), axis=0) if picked else np.zeros((1, width))
-    placed = materialise(rows.mapInArrow(_assign(width, scale, pivots), schema).dropDuplicates(["vec_id"]), "knn")
+    if not longest < 1e150:  # squares would overflow: one cell, which nothing is kept from
+        pivots, longest = np.zeros((1, width)), 0.0
+        held = spark.sparkContext.broadcast(np.zeros((1, width + 1)))
+        placed = whole.selectExpr("vec_id", "is_query", "0 as cell", "0.0D as far", "0 as qcell", "0.0D as qfar", "x")
+        lift = np.zeros((1, width + 1))
+    else:
+        lift = lifted(pivots, longest)
+        held = spark.sparkContext.broadcast(lift)
+        placed = materialise(whole.select("vec_id", "is_query", "x").mapInArrow(_place(width, held, longest), PLACED), "knn-placed")
+        release(whole)
+    # summaries: a cell's k + 1 smallest distances, and how far its queries lie; both as many as pivots
     ranked = Window.partitionBy("cell").orderBy("far")
-    closest = placed.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k + 1).groupBy("cell").agg(F.array_sort(F.collect_list("far")).alias("near"))
-    summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).join(closest, "cell").orderBy("cell").collect()
-    cells = np.array([r.cell for r in summary], dtype=np.int64)
-    parts = F.lit(1)
-    for r in summary:
-        parts = F.when(F.col("cell") == r.cell, F.lit(-(-r.n // block_rows))).otherwise(parts)
-    salted = placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), parts.cast("long")).cast("int"))
-    block = "cell int, part int, n long, ids binary, xs binary"
-    blocks = salted.groupBy("cell", "part").applyInArrow(_block, block)
-    queries = placed.where("is_query").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.greatest(F.lit(1), F.ceil(parts * block_rows / 50 / query_rows)).cast("long")).cast("int")).groupBy("cell", "part").applyInArrow(_block, block)
-    spread = queries.mapInArrow(_targets(width, k, pivots, cells, np.array([r.radius for r in summary]), [np.array(r.near) for r in summary]), "cell int, from_cell int, nq long, qids binary, qs binary")
-    counted = spread.withColumn("part", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)))
-    solved = counted.join(blocks, ["cell", "part"]).select("qids", "qs", "ids", "xs").mapInArrow(_solve(width, k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return solved.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = placed.select("cell", "far").withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k + 1).groupBy("cell").agg(F.collect_list("far").alias("near")).orderBy("cell").collect()
+    of_queries = placed.where("is_query").groupBy("qcell").agg(F.count("*").alias("n"), F.max("qfar").alias("r")).orderBy("qcell").collect()
+    reach = reaches(k, lift, [(r.cell, np.array(r.near)) for r in near], [(r.qcell, r.r) for r in of_queries])
+    if not longest:
+        reach = np.full(len(of_queries), np.inf)
+    cells = np.array([r.qcell for r in of_queries], dtype=np.int64)
+    query_rows = max(query_rows, min(8192, stats.queries // 64))
+    groups, parts = [], []
+    for members in neighbourhoods(lift[cells], np.array([r.n for r in of_queries], dtype=np.int64), query_rows):
+        # a hot cell's queries fill groups of their own
+        split = max(1, -(-sum(of_queries[c].n for c in members) // query_rows)) if len(members) == 1 else 1
+        parts += [(of_queries[c].qcell, len(groups), split) for c in members]
+        groups += [members] * split
+    table = F.broadcast(spark.createDataFrame(parts, "qcell int, base int, split int"))  # a row for each pivot at most
+    asked = placed.where("is_query").select("vec_id", "qcell", "x").join(table, "qcell").select((F.col("base") + F.pmod(F.xxhash64("vec_id"), F.col("split").cast("long"))).cast("int").alias("g"), "vec_id", "x")
+    salts = max(1, -(-int(stats.n) // (8 * block_rows)))
+    asked = asked.groupBy("g").applyInArrow(_queries, "g int, qids binary, qs binary").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if longest:
+        blocks = placed.select("vec_id", "x").mapInArrow(_replicate(width, held, longest, cells, reach, [np.array(g) for g in groups], block_rows), "g int, number long, ids binary, xs binary")
+    else:
+        blocks = placed.select("vec_id", "x").mapInArrow(_whole_blocks(width, len(groups), block_rows), "g int, number long, ids binary, xs binary")
+    return asked, blocks.withColumn("salt", F.pmod(F.xxhash64("number", F.spark_partition_id()), F.lit(salts).cast("long")).cast("int")).drop("number"), width, wide
+
+
+def _whole_blocks(width: int, groups: int, block_rows: int):
+    def run(batches):
+        number = 0
+        for batch in batches:
+            ids, x = np.asarray(batch.column("vec_id")), unpack(batch.column("x"), "<f8", width)
+            for at in range(0, len(ids), block_rows):
+                piece = ids[at : at + block_rows].astype("<i8").tobytes(), x[at : at + block_rows].tobytes()
+                number += 1
+                yield pa.RecordBatch.from_arrays([pa.array(range(groups), pa.int32()), pa.array([number] * groups, pa.int64()), *(pa.array([p] * groups, pa.binary()) for p in piece)], names=["g", "number", "ids", "xs"])
+
+    return run
+
+
+def share_compared(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, n_pivots: int | None = None, block_rows: int = 1024, query_rows: int = 512) -> float:
+    """The share of all pairs of a query and a row that the join compares."""
+    asked, blocks, *_ = _join(vectors, is_query, k, id_col, vector_col, scale, n_pivots, block_rows, query_rows)
+    asked = asked.where("salt = 0").groupBy("g").agg(F.sum(F.length("qids") / 8).alias("q"))
+    met = blocks.groupBy("g").agg(F.sum(F.length("ids") / 8).alias("n")).join(asked, "g").agg(F.sum(F.col("q") * F.col("n"))).first()[0] or 0.0
+    every = vectors.select(F.sum(F.coalesce(is_query, F.lit(False)).cast("long")) * F.count("*")).first()[0]
+    return met / max(1, every)
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, n_pivots: int | None = None, block_rows: int = 1024, query_rows: int = 512) -> DataFrame:
+    """The k rows of highest integer inner product for each query: query_id, rank, vec_id, score, exact_score.
+
+    Components become floor(scale * x). One more component gives all rows the
+    same length, so that the nearest rows are those of highest product. Rows
+    and queries are grouped by their nearest pivot; pivots are the rows of
+    smallest id hash, as many as the root of the rows. From the summaries of
+    all cells, their k + 1 smallest distances and how far their queries lie,
+    each cell of queries gets a reach. Cells of queries near each other form
+    groups of about ``query_rows``; a row goes to the groups that have it within
+    reach of a cell, in blocks, and each block is solved by one matrix product.
+    A hot cell's queries are split over several groups, a group's blocks over
+    several tasks; a task passes on a query's k best.
+
+    Vectors that are null, empty or hold null or non-finite components (after
+    scaling, too), and rows without an id, take no part; shorter vectors are
+    filled up with zeros. Ties go to the smaller id. A query never meets a row
+    of its own id; rows that repeat an id count once, by their smallest vector.
+    ``score`` is exact, or null beyond 64 bits, where ``exact_score`` has it as
+    text; ranks go by the exact one. Further columns are ignored.
+    """
+    asked, blocks, width, wide = _join(vectors, is_query, k, id_col, vector_col, scale, n_pivots, block_rows, query_rows)
+    solved = blocks.join(asked, ["g", "salt"]).select("qids", "qs", "ids", "xs").mapInArrow(_solve(width, k, wide), "query_id long, vec_id long, score long, exact string, place string")
+    best = Window.partitionBy("query_id").orderBy(F.desc("place" if wide else "score"), "vec_id")
+    return solved.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", F.coalesce("exact", F.col("score").cast("string")).alias("exact_score"))
 
 
 def op2_knn(spark, sf_dir: str) -> DataFrame:

@@ -42,6 +42,39 @@ def test_knn_ties_nulls_hot_vector(spark):
     assert knn.top_k(df.limit(0), F.col("q")).count() == 0
 
 
+def test_knn_huge_numbers_repeats(spark):
+    rows = [(0, [1e10, 3.0], True), (1, [1e10, 1e10], False), (2, [-1e10, 2.0], False), (3, [1.0, 1.0], False), (7, [1e300, 1.0], False), (8, [1e307, 0.0], True), (9, [1e305, -1.0], True), (4, [2.0, 2.0], True)]
+    df = spark.createDataFrame([(i, v, q) for i, v, q in [*rows, (4, [2.5, -8.0], False), (3, [1.0, 1.0], False)]], "vec_id long, embedding array<double>, q boolean")
+    good = {i: ([int(np.floor(256.0 * x)) for x in v], q) for i, v, q in rows if i != 8}  # 256e307 is beyond a double
+    good[4] = (min([512, 512], [640, -2048], key=lambda v: np.array(v, dtype="<f8").tobytes()), True)
+    want = {}
+    for i, (v, q) in good.items():
+        if q:
+            ranked = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, (w, _) in good.items() if j != i)[:3]
+            want |= {(i, r + 1): (j, str(-s)) for r, (s, j) in enumerate(ranked)}
+    got = knn.top_k(df, F.col("q"), k=3).collect()
+    assert {(r.query_id, r.rank): (r.vec_id, r.exact_score) for r in got} == want
+    assert all((r.score is None) == (abs(int(r.exact_score)) >= 2**63) and r.score in (None, int(r.exact_score)) for r in got)
+
+
+def test_knn_compares_less_of_more_rows(spark):
+    rng = np.random.default_rng(8)
+    shares = []
+    for n in (500, 2000, 8000):
+        x = rng.standard_normal((40, 8))[rng.integers(0, 40, n)] * 3 + rng.standard_normal((n, 8)) * 0.05
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        shares.append(knn.share_compared(df, F.col("vec_id") % 50 == 0, scale=4096.0, query_rows=8))
+        if n == 2000:
+            whole = np.floor(4096.0 * x).astype(np.int64)
+            score = whole[::50] @ whole.T
+            for k, i in enumerate(range(0, n, 50)):
+                score[k, i] = -(2**62)
+            want = {(50 * k, r + 1, int(j), int(s[j])) for k, s in enumerate(score) for r, j in enumerate(np.lexsort((np.arange(n), -s))[:5])}
+            assert got_top(knn.top_k(df, F.col("vec_id") % 50 == 0, scale=4096.0, query_rows=8)) == want
+    assert shares[0] > shares[1] > shares[2] and shares[2] < 0.2
+
+
 def brute_links(rows, threshold):
     good = {i: (l, np.array(v, dtype=np.float64)) for i, v, l in rows if i is not None and l is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     ids = sorted(good)
@@ -98,3 +131,41 @@ def test_itq_recall_and_precision(spark, clustered):
     for i in (900, 901, 902, 903, 905):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert itq.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_itq_pairs_about_the_threshold(spark):
+    """Cosines within the grid's error of the threshold are settled by the vectors themselves."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(150):
+        a = rng.standard_normal(32)
+        b = itq.partners(itq.unit(a[None]), 0.93 + float(rng.choice([-1, 1])) * float(rng.choice([1e-9, 1e-5, 1e-4, 1e-2])), rng.standard_normal((1, 32)))[0]
+        rows += [(2 * i, a.tolist(), 1), (2 * i + 1, (b * 7).tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in itq.near_duplicates(df, bucket_rows=300).collect()}
+    want = brute_links(rows, 0.93)
+    assert all(got[i][0] <= want[i][0] for i in got)
+    assert sum(got[i] == want[i] for i in got) >= 0.98 * len(got)
+
+
+def test_itq_recall_where_vectors_share_a_direction():
+    rng = np.random.default_rng(13)
+    far = rng.standard_normal(64)
+    far *= 0.9 / np.linalg.norm(far)
+    y = itq.unit(far + rng.standard_normal((6000, 64)) * (0.43 / 8))
+    few = itq.enough_tables(itq.unit(rng.standard_normal((6000, 64))), 8, 0.93, 0.95)[1]
+    rotations, tables = itq.enough_tables(y, 8, 0.93, 0.95)
+    assert tables > few  # centred codes part such pairs more often
+    fresh = y[3000:5000]
+    other = itq.partners(fresh, 0.93, rng.standard_normal(fresh.shape))
+    a, b = (itq._signs(v, rotations)[:, : tables * 8].reshape(len(fresh), tables, 8) for v in (fresh, other))
+    assert (a == b).all(2).any(1).mean() > 0.9
+
+
+def test_repeated_ids_give_one_result(spark):
+    rows = [(i % 40, [float(x) for x in np.random.default_rng(i).standard_normal(6)], i % 2) for i in range(120)]
+    results = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<double>, label int").repartition(7)
+        results.append((sorted(map(tuple, itq.near_duplicates(df).collect())), sorted(map(tuple, knn.top_k(df, F.col("vec_id") % 4 == 0).collect()))))
+    assert results[0] == results[1]
