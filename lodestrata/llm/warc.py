@@ -8,12 +8,12 @@ import hashlib
 import re
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_path, slices
+from ..sources.files import open_path
+from .common import materialise, slices, until_exit, working_path
 
 INDEX = "page_id long, url string, record_type string, refers_to long, digest string, file string, offset long, length long"
 DATE = "2024-01-01T00:00:00Z"
@@ -51,7 +51,7 @@ def parse(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 def _writer(folder: str, roll: int):
     def write(batches):
-        fs, top = pafs.FileSystem.from_uri(folder)
+        fs, top = open_path(folder)
         fs.create_dir(top, recursive=True)
         task = TaskContext.get()
         out, name, number, offset = None, "", 0, 0
@@ -100,7 +100,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
 def _reader(folder: str, gap: int, most: int):
     def read(batches):
-        fs, top = pafs.FileSystem.from_uri(folder)
+        fs, top = open_path(folder)
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("html", pa.string())])
         for batch in batches:
             wanted = sorted(zip(*(batch.column(n).to_pylist() for n in ("file", "offset", "length", "page_id", "digest")), strict=True), key=lambda x: x[:2])
@@ -139,8 +139,11 @@ def read_warc(index: DataFrame, folder: str, gap: int = 64 << 10, most: int = 4
 
 def warc_round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and read every record back."""
-    folder = shared_path(pages.sparkSession, "warc")
-    return read_warc(write_warc(pages, folder, min_revisit_bytes=min_revisit_bytes), folder)
+    spark = pages.sparkSession
+    folder = working_path(spark, "warc")
+    index = write_warc(pages, folder, min_revisit_bytes=min_revisit_bytes)
+    until_exit(spark, folder)
+    return read_warc(index, folder)
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import defaultdict
 import pyarrow.parquet as pq
 
 from lodestrata.llm import warc
+from lodestrata.llm.common import shared_path
 
 
 def verify(got, rows):
@@ -39,7 +40,7 @@ def test_nulls_copies_ties_and_extra_columns(spark):
 
 def test_threshold_and_selected_ranges(spark):
     df = spark.createDataFrame([(i, f"u{i}", "same" if i % 2 else "x" * i) for i in range(40)], "page_id long, url string, html string")
-    folder = warc.shared_path(spark, "warc-test")
+    folder = shared_path(spark, "warc-test")
     index = warc.write_warc(df, folder, min_revisit_bytes=5)
     assert {r.record_type for r in index.where("url like '%1' or url like '%3'").collect()} == {"response"}
     got = warc.read_warc(index.where("page_id in (3, 4, 17)"), folder, gap=10, most=100).collect()
