@@ -30,8 +30,8 @@ def test_block_max_is_exact():
         w = rng.uniform(0.1, 1, len(t)) * (1 + 3 * (t % 40 == i // 20))  # rows of a block are alike
         vectors.append((t, w / np.sqrt((w * w).sum())))
         dense[i, t] = vectors[-1][1]
-    index = tox.BlockMaxIndex(vectors, 40, block=16)
-    for q in range(0, 700, 7):
+    for q, often in [(q, often) for often in (1 / 12, 1 / 40, 1.0) for q in range(0, 700, 21)]:
+        index = tox.BlockMaxIndex(vectors, 40, block=16, often=often)
         want = dense @ dense[q]
         want[q] = 0
         rows, cos = index.nearest(*vectors[q], 10, but=q)
@@ -44,7 +44,7 @@ def words_of(text):
     for w in (text or "").lower().split():
         w = w.strip(EDGE_PUNCTUATION)
         if w:
-            out.append(w)
+            out += [w, *("^" + w[:n] for n in (4, 5) if len(w) >= n)]
     return Counter(out)
 
 
@@ -75,7 +75,7 @@ def test_query_against_brute_force(spark, sf_dir):
         a, b = one[w], zero[w]
         odds = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
         z2 = odds**2 / (1 / (a + 0.5) + 1 / (b + 0.5)) if a + b else 0.0
-        return math.log((n1 + n0 + 1) / (a + b + 0.5)) * (0.02 + 0.98 * (z2 / (z2 + 4)) ** 2)
+        return math.log((n1 + n0 + 1) / (a + b + 0.5)) * (0.002 + 0.998 * (z2 / (z2 + 10)) ** 2)
 
     def unit(bag):
         v = {w: (1 + math.log(n)) * weight(w) for w, n in bag.items()}
