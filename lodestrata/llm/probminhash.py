@@ -237,7 +237,7 @@ def _settle(least: float, threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", chunk_rows: int = 2048, chunk_bytes: int = 32 << 20, group_rows: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", chunk_rows: int = 2048, chunk_bytes: int = 32 << 20, group_rows: int = 512) -> DataFrame:
     """Classes of documents linked by a probability Jaccard of ``threshold`` or more: doc_id, class_id, kept, n_rows.
 
     Sets are 5-word shingles, each weighted by 1 + ln of how often the text has it.
