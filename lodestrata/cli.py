@@ -52,7 +52,7 @@ def main(argv: list[str] | None = None, spark=None):
     sub = parser.add_subparsers(dest="command", required=True)
     writing = argparse.ArgumentParser(add_help=False)
     writing.add_argument("--compression", default="uncompressed")
-    writing.add_argument("--statistics", choices=("none", "chunk", "page"), default="page")
+    writing.add_argument("--statistics", choices=("none", "page"), default="page")
     c = sub.add_parser("convert", parents=[writing])
     c.add_argument("-i", "--input", nargs="+", required=True)
     c.add_argument("-o", "--output")
@@ -86,11 +86,14 @@ def main(argv: list[str] | None = None, spark=None):
             df = layout.add_importance(spark.read.parquet(*args.inputs))
             layout.write_points(df, args.output, codec, statistics=args.statistics)
         else:
-            layout.merge(spark, args.inputs, args.output, codec)
+            layout.merge(spark, args.inputs, args.output, codec, statistics=args.statistics)
         return [args.output]
     groups = [args.input] if args.merge else [[f] for f in args.input]
     suffix, paths = "convert" if args.command == "convert" else args.method.split("(")[0], []
-    for group in groups:
+    targets = [layout.output_path(g, args.output, suffix, len(groups) > 1) for g in groups]
+    if len(set(targets)) < len(targets):
+        parser.error(f"several inputs would go to one output: {', '.join(sorted({t for t in targets if targets.count(t) > 1}))}")
+    for group, target in zip(groups, targets, strict=True):
         frames = [read_points(spark, f, raw=getattr(args, "raw", False)) for f in group]
         df = frames[0]
         for other in frames[1:]:
@@ -99,7 +102,6 @@ def main(argv: list[str] | None = None, spark=None):
             df = layout.cluster(df, args.method)
         elif args.importance:
             df = layout.add_importance(df)
-        target = layout.output_path(group, args.output, suffix)
         layout.write_points(df, target, codec, statistics=args.statistics)
         paths.append(target)
     return paths

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +38,10 @@ class PointCloud:
     def push(self, chunk: str, df: DataFrame) -> PointCloud:
         return PointCloud(self.df.unionByName(df.withColumn("chunk", F.lit(chunk)), allowMissingColumns=True), self.dims, self.grid)
 
-    def append(self, df: DataFrame, name: str = "appended") -> PointCloud:
-        """With a grid, each point goes to its cell's chunk; else all go to one."""
+    def append(self, df: DataFrame, name: str | None = None) -> PointCloud:
+        """With a grid, each point goes to its cell's chunk; else all go to a new one."""
         if self.grid is None:
-            return self.push(name, df)
+            return self.push(name or uuid.uuid4().hex, df)
         cell = F.concat_ws("_", *[F.floor(F.col(d) / F.lit(self.grid)).cast("string") for d in self.dims.value if d != "i"])
         return PointCloud(self.df.unionByName(df.withColumn("chunk", cell), allowMissingColumns=True), self.dims, self.grid)
 

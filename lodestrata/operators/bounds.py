@@ -23,6 +23,14 @@ def box_of(df: DataFrame, dims: Dims | tuple[str, ...]) -> Box | None:
     return None if r[0] is None else Box(names, tuple(float(r[f"{d}min"]) for d in names), tuple(float(r[f"{d}max"]) for d in names))
 
 
+def box_and_count(df: DataFrame, dims: Dims | tuple[str, ...]) -> tuple[Box | None, int]:
+    """The bounds and the number of all rows, in one pass."""
+    names = dims.value if isinstance(dims, Dims) else tuple(dims)
+    r = df.agg(*[f(d).alias(f"{d}{n}") for d in names for f, n in ((F.min, "min"), (F.max, "max"))], F.count("*").alias("n")).first()
+    box = None if r[0] is None else Box(names, tuple(float(r[f"{d}min"]) for d in names), tuple(float(r[f"{d}max"]) for d in names))
+    return box, r.n
+
+
 def chunk_catalog(df: DataFrame, chunk: str, dims=("x", "y", "i")) -> DataFrame:
     """Count and bounds of each chunk."""
     aggs = [f(d).alias(f"{d}{n}") for d in dims for f, n in ((F.min, "min"), (F.max, "max"))]
@@ -31,12 +39,13 @@ def chunk_catalog(df: DataFrame, chunk: str, dims=("x", "y", "i")) -> DataFrame:
 
 def _footers(dims):
     def run(batches):
-        import pyarrow.fs as pafs
         import pyarrow.parquet as pq
 
+        from ..sources.files import open_path
+
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                fs, at = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+                fs, at = open_path(path)
                 with fs.open_input_file(at) as f:
                     meta = pq.ParquetFile(f).metadata
                 rows = []
@@ -65,6 +74,41 @@ def row_group_catalog(df: DataFrame, dims=("x", "y", "i")) -> DataFrame:
     return paths.mapInArrow(_footers(dims), schema)
 
 
+def _groups(columns: list[str], schema: pa.Schema):
+    def run(batches):
+        import pyarrow.parquet as pq
+
+        from ..sources.files import open_path
+
+        for batch in batches:
+            for path, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fs, at = open_path(path)
+                with fs.open_input_file(at) as f:
+                    # a row group goes out in pieces
+                    for piece in pq.ParquetFile(f).iter_batches(1 << 16, row_groups=[group], columns=columns):
+                        yield pa.RecordBatch.from_arrays([piece.column(c).cast(t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+    return run
+
+
+def read_row_groups(catalog: DataFrame, like: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The rows of the row groups that ``catalog`` names (file, row_group), and of no others: a task reads its groups' bytes alone.
+
+    ``like`` is a DataFrame over the same files, whose schema holds; nested
+    columns are refused.
+    """
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    fields = T.StructType([like.schema[c] for c in columns or like.columns])
+    for f in fields:
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            raise TypeError(f"column {f.name}: row groups are read with plain columns")
+    n = max(1, int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    named = catalog.select("file", "row_group").repartition(n, "file", "row_group")
+    return named.mapInArrow(_groups(fields.fieldNames(), to_arrow_schema(fields)), fields)
+
+
 def layout_stats(catalog: DataFrame, dims=("x", "y", "i")) -> DataFrame:
     """Mean and population deviation of the chunks' points, extents, area and volume."""
     ext = {d: F.col(f"{d}max") - F.col(f"{d}min") for d in dims}

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..model import Box, tag
 from ..session import ROW_GROUP_ROWS
-from .bounds import box_of
+from .bounds import box_and_count
 from .decompose import assign_grid, assign_quadtree, grid_size, quadtree_size
 
 CODECS = ("uncompressed", "snappy", "gzip", "lz4_raw", "zstd")
@@ -47,7 +47,13 @@ def add_importance(df: DataFrame, seed: int | None = None, kind: str = "float",
 
 
 def write_points(df: DataFrame, path: str, codec: Codec = Codec(), row_group: int = ROW_GROUP_ROWS, mode: str = "overwrite", statistics: str = "page") -> None:
-    """Write Parquet with row groups of at most ``row_group`` rows and chunk and page statistics."""
+    """Write Parquet with row groups of at most ``row_group`` rows and statistics of chunks and pages, or ``none``.
+
+    Statistics of chunks without those of pages can't be had: Spark's writer
+    adds the page index whenever it keeps statistics.
+    """
+    if statistics not in ("none", "page"):
+        raise ValueError(f"statistics can be none or page, not {statistics!r}")
     for f in df.schema:
         if isinstance(f.dataType, T.VariantType):
             raise TypeError(f"column {f.name} has no Parquet point type")
@@ -56,8 +62,6 @@ def write_points(df: DataFrame, path: str, codec: Codec = Codec(), row_group: in
         out = out.option("parquet.compression.codec.zstd.level", str(codec.level))
     if statistics == "none":
         out = out.option("parquet.column.statistics.enabled", "false")
-    elif statistics == "chunk":
-        out = out.option("parquet.page.write-checksum.enabled", "false")
     out.parquet(path)
 
 
@@ -71,7 +75,7 @@ def cluster(df: DataFrame, method: str = "quadtree", target: int = ROW_GROUP_ROW
     """
     if "i" not in df.columns:
         df = add_importance(df, seed, keys=[c for c in ("x", "y", "z") if c in df.columns])
-    box, n = box_of(df, ("x", "y")), df.count()
+    box, n = box_and_count(df, ("x", "y"))
     if box is None:
         return df
     if method == "quadtree":
@@ -88,23 +92,32 @@ def cluster(df: DataFrame, method: str = "quadtree", target: int = ROW_GROUP_ROW
     return tag(placed.repartitionByRange(parts, *order, "x", "y").sortWithinPartitions(*order, "x", "y"))
 
 
-def merge(spark: SparkSession, inputs: list[str], output: str, codec: Codec = Codec("zstd", 3)) -> None:
-    """Concatenate Parquet inputs, one sorted run for each source directory; the first input's schema holds."""
-    first = spark.read.parquet(inputs[0])
-    df = first.withColumn("_source", F.lit(0))
-    for k, path in enumerate(inputs[1:], 1):
-        df = df.unionByName(spark.read.parquet(path).select(*first.columns).withColumn("_source", F.lit(k)))
-    write_points(df.repartitionByRange(len(inputs), "_source").drop("_source"), output, codec)
+def merge(spark: SparkSession, inputs: list[str], output: str, codec: Codec = Codec("zstd", 3), row_group: int = ROW_GROUP_ROWS, statistics: str = "page") -> None:
+    """Concatenate Parquet inputs in one folder; the first input's columns hold.
+
+    Each input is appended by itself, with the files' order kept and without an
+    exchange: every input's tasks write files of their own, so no file and no
+    row group mixes two inputs.
+    """
+    columns = spark.read.parquet(inputs[0]).columns
+    for k, path in enumerate(inputs):
+        write_points(spark.read.parquet(path).select(*columns), output, codec, row_group, "append" if k else "overwrite", statistics)
+
 
+def output_path(inputs: list[str], output: str | None, suffix: str, several: bool = False) -> str:
+    """Where the outcome of ``inputs`` goes.
 
-def output_path(inputs: list[str], output: str | None, suffix: str) -> str:
-    """An output ending in .parquet is used; a folder, or several inputs, get one name each; none gives <stem>_<suffix>.parquet."""
+    An output ending in .parquet is used; a folder, or any output of which
+    ``several`` are written, gets <stem>.parquet in it; none gives
+    <stem>_<suffix>.parquet beside the input.
+    """
     stem = os.path.splitext(os.path.basename(inputs[0].rstrip("/")))[0]
     if output is None:
         return os.path.join(os.path.dirname(inputs[0]), f"{stem}_{suffix}.parquet")
-    return output if output.endswith(".parquet") else os.path.join(output, f"{stem}.parquet")
+    return output if output.endswith(".parquet") and not several else os.path.join(output, f"{stem}.parquet")
 
 
 def root_box(df: DataFrame, target: int = ROW_GROUP_ROWS) -> tuple[Box, int]:
     """Root and depth that ``cluster`` used for a quadtree layout."""
-    return quadtree_size(df.count(), box_of(df, ("x", "y")), target)
+    box, n = box_and_count(df, ("x", "y"))
+    return quadtree_size(n, box, target)

@@ -7,12 +7,14 @@ import struct
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..model import DIMENSION, LOCATION, OFFSET, SCALE
 from ..session import ROW_GROUP_ROWS
-from .ply import expand_paths, open_path
+from .files import open_path, scratch
+from .ply import expand_paths
 
 # Fixed values of the format: fields after the common ones, by point format.
 GPS, RGB, NIR = {1, 3, 4, 5, 6, 7, 8, 9, 10}, {2, 3, 5, 7, 8, 10}, {8, 10}
@@ -108,31 +110,39 @@ def _read(h: LasHeader, first: int, count: int) -> np.ndarray:
 class LasReader(DataSourceReader):
     """One partition a chunk. ``ranges`` are the bounds that filters asked for; Spark still filters the rows."""
 
-    def __init__(self, paths, schema, raw: bool, stats: bool, rows: int):
-        self.paths, self.schema, self.raw, self.stats, self.rows = paths, schema, raw, stats, rows
+    def __init__(self, headers, schema, raw: bool, stats: bool, catalog: str | None, rows: int):
+        self.headers, self.schema, self.raw, self.stats, self.catalog, self.rows = headers, schema, raw, stats, catalog, rows
         self.ranges: list[tuple[int, float, float]] = []
 
     def meets(self, lower, upper) -> bool:
         return all(upper[k] >= low and lower[k] <= high for k, low, high in self.ranges)
 
+    def known(self) -> dict:
+        """Bounds by file, first point and count, of a catalog written before: no point is read here."""
+        if not self.catalog or self.raw or not self.ranges:
+            return {}
+        import pyarrow.dataset as ds
+
+        fs, at = open_path(self.catalog)
+        found = ds.dataset(at, filesystem=fs, format="parquet").to_table(columns=CATALOG).to_pylist()
+        return {(r["file"], r["first"], r["n_points"]): ([r[f"{d}min"] for d in "xyz"], [r[f"{d}max"] for d in "xyz"]) for r in found}
+
     def partitions(self):
-        out = []
-        for path in self.paths:
-            h = LasHeader(path)
+        out, known = [], self.known()
+        for h in self.headers:
             # raw columns hold grid numbers, which the header's world bounds say nothing about
             if not self.raw and not self.meets(h.lower, h.upper):
                 continue
             for first in range(0, h.count, self.rows):
                 n = min(self.rows, h.count - first)
-                bounds = None
-                if self.stats and not self.raw:
+                bounds = known.get((h.path, first, n))
+                if bounds is None and self.stats and self.ranges and not self.raw:
                     data = _read(h, first, n)
-                    xyz = [data[d] * h.scale[k] + h.offset[k] for k, d in enumerate("XYZ")]
-                    bounds = [float(v.min()) for v in xyz], [float(v.max()) for v in xyz]
-                    if not self.meets(*bounds):
-                        continue
-                out.append(Chunk(path, first, n, bounds))
-        return out or [Chunk(self.paths[0], 0, 0, None)]
+                    xyz = [np.sort(np.array([data[d].min(), data[d].max()]) * h.scale[k] + h.offset[k]) for k, d in enumerate("XYZ")]
+                    bounds = [float(v[0]) for v in xyz], [float(v[1]) for v in xyz]
+                if bounds is None or self.meets(*bounds):
+                    out.append(Chunk(h.path, first, n, bounds))
+        return out or [Chunk(self.headers[0].path, 0, 0, None)]
 
     def read(self, part):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -157,7 +167,12 @@ class PushingLasReader(LasReader):
 
 
 class LasDataSource(DataSource):
-    """``spark.read.format("las")``: options raw, stats, rows (a chunk's) and pushdown (needs the session's setting)."""
+    """``spark.read.format("las")``: options raw, rows (a chunk's), pushdown (needs the session's setting) and catalog (of chunks, to skip by).
+
+    ``stats`` finds the bounds of the chunks of files that a filter meets while
+    the read is planned, which suits a few files; ``write_chunk_catalog`` does
+    so in tasks, once for all reads.
+    """
 
     @classmethod
     def name(cls):
@@ -167,10 +182,13 @@ class LasDataSource(DataSource):
         return str(self.options.get(name, "false")).lower() == "true"
 
     def _headers(self):
+        if hasattr(self, "_held"):
+            return self._held
         headers = [LasHeader(p) for p in expand_paths(self.options["path"])]
         raw = self._flag("raw")
         if any(h.schema(raw) != headers[0].schema(raw) for h in headers):
             raise ValueError("the files' schemas differ")
+        self._held = headers
         return headers
 
     def schema(self):
@@ -178,13 +196,56 @@ class LasDataSource(DataSource):
 
     def reader(self, schema):
         kind = PushingLasReader if self._flag("pushdown") else LasReader
-        return kind([h.path for h in self._headers()], schema, self._flag("raw"), self._flag("stats"), int(self.options.get("rows", ROW_GROUP_ROWS)))
+        return kind(self._headers(), schema, self._flag("raw"), self._flag("stats"), self.options.get("catalog"), int(self.options.get("rows", ROW_GROUP_ROWS)))
+
+
+def _headers_of(batches):
+    for batch in batches:
+        heads = [LasHeader(p) for p in batch.column(0).to_pylist()]
+        columns = [pa.array([h.path for h in heads], pa.string()), pa.array([h.format for h in heads], pa.int32()), pa.array([h.count for h in heads], pa.int64())]
+        columns += [pa.array([float(end[k]) for h in heads for end in (getattr(h, e),)], pa.float64()) for k in range(3) for e in ("lower", "upper")]
+        yield pa.RecordBatch.from_arrays(columns, names=["file", "point_format", "n_points", "xmin", "xmax", "ymin", "ymax", "zmin", "zmax"])
 
 
 def las_header_catalog(spark: SparkSession, pattern: str) -> DataFrame:
-    """Count and bounds of each file, from the headers alone."""
-    rows = [(h.path, h.format, h.count, *(float(v) for k in range(3) for v in (h.lower[k], h.upper[k]))) for h in map(LasHeader, expand_paths(pattern))]
-    return spark.createDataFrame(rows, "file string, point_format int, n_points long, xmin double, xmax double, ymin double, ymax double, zmin double, zmax double")
+    """Count and bounds of each file, from the headers alone, read in tasks."""
+    paths = expand_paths(pattern)
+    files = spark.createDataFrame([(p,) for p in paths], "file string").repartition(max(1, min(len(paths), 1024)))
+    return files.mapInArrow(_headers_of, "file string, point_format int, n_points long, xmin double, xmax double, ymin double, ymax double, zmin double, zmax double")
+
+
+def _chunks_of(batches):
+    for batch in batches:
+        out: list[list] = [[] for _ in range(9)]
+        for path, first, count in zip(*(batch.column(n).to_pylist() for n in ("file", "first", "n_points")), strict=True):
+            h = LasHeader(path)
+            data = _read(h, first, count)
+            row = [path, first, count]
+            for k, d in enumerate("XYZ"):
+                low, high = sorted(float(v) * h.scale[k] + h.offset[k] for v in (data[d].min(), data[d].max()))
+                row += [low, high]
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
+        types = [pa.string(), pa.int64(), pa.int64()] + [pa.float64()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=CATALOG)
+
+
+CATALOG = ["file", "first", "n_points", "xmin", "xmax", "ymin", "ymax", "zmin", "zmax"]
+
+
+def las_chunk_catalog(spark: SparkSession, pattern: str, rows: int = ROW_GROUP_ROWS) -> DataFrame:
+    """Count and bounds of each chunk of ``rows`` points, decoded in tasks, a chunk at a time."""
+    chunks = las_header_catalog(spark, pattern).where("n_points > 0").select("file", "n_points", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_points") - 1, F.lit(rows).cast("long"))).alias("first"))
+    chunks = chunks.select("file", "first", F.least(F.lit(rows).cast("long"), F.col("n_points") - F.col("first")).alias("n_points"))
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    return chunks.repartition(n, "file", "first").mapInArrow(_chunks_of, "file string, first long, n_points long, xmin double, xmax double, ymin double, ymax double, zmin double, zmax double")
+
+
+def write_chunk_catalog(spark: SparkSession, pattern: str, path: str | None = None, rows: int = ROW_GROUP_ROWS) -> str:
+    """Write the chunk catalog as Parquet, for the ``catalog`` option of this and later reads; its path."""
+    path = path or scratch(spark, "las-catalog")
+    las_chunk_catalog(spark, pattern, rows).coalesce(1).write.mode("overwrite").parquet(path)
+    return path
 
 
 def read_points(spark: SparkSession, path: str, raw: bool = False, stats: bool = False) -> DataFrame:
@@ -192,5 +253,9 @@ def read_points(spark: SparkSession, path: str, raw: bool = False, stats: bool =
     low = path.lower().rstrip("/")
     if low.endswith((".las", ".laz")):
         LasHeader(expand_paths(path)[0])
-        return spark.read.format("las").option("raw", str(raw)).option("stats", str(stats)).load(path)
+        pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+        reader = spark.read.format("las").option("raw", str(raw)).option("pushdown", pushdown)
+        if stats and not raw:
+            reader = reader.option("catalog", write_chunk_catalog(spark, path))
+        return reader.load(path)
     return spark.read.format("ply").load(path) if low.endswith(".ply") else spark.read.parquet(path)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..model import DIMENSION, LOCATION
 from ..session import ROW_GROUP_ROWS
+from .files import glob_paths, open_path
 
 # Fixed values of the format: scalar names, numpy codes and Spark types.
 SCALARS = {
@@ -22,26 +22,9 @@ SCALARS = {
 NAMES = {"byte": "char", "tinyint": "char", "smallint": "short", "int": "int", "float": "float", "double": "double"}
 
 
-def open_path(path: str):
-    if "://" in path or path.startswith("file:"):
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), path
-
-
 def expand_paths(pattern: str) -> list[str]:
-    """Paths of a comma-separated list; local ones may hold wildcards or be folders."""
-    import glob
-    import os
-
-    out = []
-    for part in pattern.split(","):
-        if "://" in part or part.startswith("file:"):
-            out.append(part)
-            continue
-        found = sorted(glob.glob(part)) or [part]
-        for f in found:
-            out += sorted(os.path.join(f, x) for x in os.listdir(f)) if os.path.isdir(f) else [f]
-    return out
+    """Paths of a comma-separated list, which may hold wildcards and folders, local or remote."""
+    return [path for part in pattern.split(",") for path in glob_paths(part.strip())]
 
 
 class Header:
@@ -154,7 +137,10 @@ class PlyDataSource(DataSource):
         return expand_paths(self.options["path"])
 
     def schema(self):
-        return Header(self._paths()[0]).schema()
+        first, *others = [Header(p).schema() for p in self._paths()]
+        if any(s != first for s in others):
+            raise ValueError("the files' schemas differ")
+        return first
 
     def reader(self, schema):
         return PlyReader(self._paths(), schema)

@@ -196,3 +196,32 @@ def test_hausdorff_query_sees_every_point(spark, sf_dir, tmp_path):
     name = t.schema.get_field_index("l_extendedprice")
     pq.write_table(t.set_column(name, t.schema.field(name), pa.array(far, t.schema.field(name).type)), tmp_path / "lineitem.parquet")
     assert pt.QUERIES["pc_hausdorff_whole"](spark, str(tmp_path)).first().hausdorff > 5000
+
+
+def test_knn_by_catalog_and_radius(spark, sf_dir):
+    df = pt.points(spark, sf_dir)
+    want = [(r.d, r.l_orderkey) for r in query.knn(df, 1500.0, 1500.0, 50, pt.KEYS).collect()]
+    catalog = bd.chunk_catalog(dc.assign_grid(df, 100.0), "k_x", ("x", "y"))
+    for more in ({"catalog": catalog}, {"start": 300.0}, {"start": 0.001}, {"start": 0.001, "catalog": catalog}):
+        assert [(r.d, r.l_orderkey) for r in query.knn(df, 1500.0, 1500.0, 50, pt.KEYS, **more).collect()] == want
+    assert query.knn(df, 1500.0, 1500.0, 10**6, catalog=catalog).count() == df.where("x is not null and y is not null").count()
+
+
+def test_cell_hits_by_bins_as_by_nested_loop(spark, sf_dir):
+    cells, catalog = dc.quadtree_cells(spark, pt.ROOT, 3), bd.chunk_catalog(dc.assign_grid(pt.points(spark, sf_dir), 150.0).withColumn("chunk", F.concat_ws("_", "k_x", "k_y")), "chunk", ("x", "y", "i"))
+    plain = sorted(map(tuple, query.cell_hits(cells, catalog).collect()))
+    assert sorted(map(tuple, query.cell_hits(cells, catalog, most_tests=1).collect())) == plain
+    assert sorted(map(tuple, query.cell_hits(cells, catalog, broadcast_rows=1).collect())) == plain
+
+
+def test_row_groups_are_read_by_name(spark, sf_dir, tmp_path):
+    layout.write_points(layout.cluster(pt.points(spark, sf_dir), "quadtree", 500), str(tmp_path / "c"), row_group=500)
+    cloud = spark.read.parquet(str(tmp_path / "c"))
+    catalog = bd.row_group_catalog(cloud)
+    some = catalog.orderBy("xmin", "file", "row_group").limit(3)
+    assert bd.read_row_groups(some, cloud).count() == sum(r.n_points for r in some.collect())
+    assert bd.read_row_groups(catalog, cloud, ["x", "i"]).columns == ["x", "i"]
+    box = pt.LOD
+    assert query.prune(catalog, box).count() < catalog.count()
+    key = lambda df: sorted((r.l_orderkey, r.l_linenumber, r.x) for r in df.collect())
+    assert key(query.lod_query(cloud, catalog, box)) == key(query.cell_query(cloud, box))

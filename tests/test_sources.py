@@ -1,3 +1,5 @@
+import os
+import shutil
 import struct
 
 import numpy as np
@@ -6,8 +8,11 @@ import pytest
 from lodestrata import cli
 from lodestrata.cloud import PointCloud
 from lodestrata.model import Box, Dims
+from lodestrata.operators import bounds as bd
+from lodestrata.operators import layout
 from lodestrata.session import register
-from lodestrata.sources.las import LasHeader, las_header_catalog, read_points
+from lodestrata.sources import files
+from lodestrata.sources.las import LasHeader, las_header_catalog, read_points, write_chunk_catalog
 from lodestrata.sources.ply import write_ply
 from lodestrata.streaming.append import append_stream
 
@@ -140,3 +145,50 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.parquet(str(tmp_path / "m.parquet")).count() == 3200
     found = cli.main(["benchmark", part, "--runs", "1", "--sampling"], spark)
     assert found["count"]["rows"] == 1600 and "m_circle" in found and "sample_100000" in found
+
+
+def test_several_inputs_never_share_an_output(spark, tmp_path):
+    for name, base in (("a", 0), ("b", 50)):
+        write_ply(spark.createDataFrame([(float(i + base), 0.0, 1.0) for i in range(20)], "x double, y double, z double"), str(tmp_path / f"{name}.ply"))
+    a, b, out = str(tmp_path / "a.ply"), str(tmp_path / "b.ply"), str(tmp_path / "out.parquet")
+    paths = cli.main(["convert", "-i", a, b, "-o", out], spark)
+    assert [spark.read.parquet(p).count() for p in paths] == [20, 20] and len(set(paths)) == 2
+    assert spark.read.parquet(cli.main(["convert", "-i", a, b, "-o", str(tmp_path / "one.parquet"), "--merge"], spark)[0]).count() == 40
+    os.makedirs(tmp_path / "other")
+    shutil.copy(a, tmp_path / "other" / "a.ply")
+    with pytest.raises(SystemExit):
+        cli.main(["convert", "-i", a, str(tmp_path / "other" / "a.ply"), "-o", str(tmp_path / "folder")], spark)
+    merged = str(tmp_path / "m.parquet")
+    cli.main(["merge", *paths, merged, "--statistics", "none"], spark)
+    groups = bd.row_group_catalog(spark.read.parquet(merged), ("x", "y", "z")).collect()
+    assert sum(g.n_points for g in groups) == 40 and all(g.xmin == float("-inf") for g in groups)  # no statistics, and no group of both inputs
+    cli.main(["merge", *paths, merged], spark)
+    groups = bd.row_group_catalog(spark.read.parquet(merged), ("x", "y", "z")).collect()
+    assert sum(g.n_points for g in groups) == 40 and all(g.xmax < 50 or g.xmin >= 50 for g in groups)
+    with pytest.raises(ValueError, match="statistics"):
+        layout.write_points(spark.range(1), str(tmp_path / "x"), statistics="chunk")
+
+
+def test_las_catalog_is_written_once_and_read_without_points(spark, tmp_path):
+    a = make_las(tmp_path / "a.las", 1, [(i, 0, 0) for i in range(100)], offset=(0, 0, 0))
+    where = write_chunk_catalog(spark, a, str(tmp_path / "catalog"), rows=10)
+    assert spark.read.parquet(where).count() == 10
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = spark.read.format("las").option("catalog", where).option("rows", "10").option("pushdown", "true").load(a)
+        assert df.filter("x > 85.0").rdd.getNumPartitions() == 2 and df.filter("x > 85.0").count() == 14
+        assert read_points(spark, a, stats=True).filter("x < 5.0").count() == 5
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_remote_folders_and_wildcards(spark, tmp_path):
+    for name in "ab":
+        write_ply(spark.createDataFrame([(1.0, 2.0, 3.0)], "x double, y double, z double"), str(tmp_path / f"{name}.ply"))
+    assert spark.read.format("ply").load(f"file://{tmp_path}/*.ply").count() == 2
+    assert files.glob_paths(f"file://{tmp_path}") == [f"file://{tmp_path}/a.ply", f"file://{tmp_path}/b.ply"]
+    write_ply(spark.createDataFrame([(1.0, 2.0, 3.0, 4.0)], "x double, y double, z double, i double"), str(tmp_path / "c.ply"))
+    with pytest.raises(Exception, match="schemas differ"):
+        spark.read.format("ply").load(f"{tmp_path}/*.ply").count()
+    with pytest.raises(ValueError, match="no file system"):
+        files.open_path("nosuch://x/y")
