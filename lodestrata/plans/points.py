@@ -12,6 +12,9 @@ from ..model import Box, Dims
 from ..operators import bounds as bd
 from ..operators import decompose as dc
 from ..operators import layout, query, transform
+from ..session import register
+from ..sources.files import scratch
+from ..sources.ply import write_ply
 
 ROOT = Box(("x", "y"), (0.0, 0.0), (2700.0, 2700.0))
 DEPTH = 3
@@ -146,31 +149,62 @@ def _colour(s, d):
 
 
 def _hausdorff(s, d):
-    df = points(s, d)
-    return transform.hausdorff(df.where("l_orderkey % 40 = 1 and i < 0.5"), df.where("l_orderkey % 40 = 2 and i < 0.5")).select(F.round("hausdorff", 9).alias("hausdorff"))
-
-
-HAUSDORFF_SQL = f"""WITH {POINTS_SQL}, a AS (SELECT *, row_number() OVER () AS p FROM points WHERE l_orderkey % 40 = 1 AND i < 0.5), b AS (SELECT *, row_number() OVER () AS p FROM points WHERE l_orderkey % 40 = 2 AND i < 0.5),
-d AS (SELECT a.p AS pa, b.p AS pb, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d FROM a, b)
-SELECT round(sqrt(max(m)), 9) AS hausdorff FROM (SELECT min(d) AS m FROM d GROUP BY pa UNION ALL SELECT min(d) AS m FROM d GROUP BY pb)"""
-
-
-def _hausdorff_whole(s, d):
     """All points of lineitem: open orders' lines against finished ones."""
     df = points(s, d, "l_linestatus")
     return transform.hausdorff(df.where("l_linestatus = 'O'"), df.where("l_linestatus <> 'O'")).select(F.round("hausdorff", 9).alias("hausdorff"))
 
 
-HAUSDORFF_WHOLE_SQL = f"""WITH {POINTS_SQL}, s AS (SELECT points.*, t.l_linestatus FROM points JOIN lineitem t USING ({PKEYS})),
+HAUSDORFF_SQL = f"""WITH {POINTS_SQL}, s AS (SELECT points.*, t.l_linestatus FROM points JOIN lineitem t USING ({PKEYS})),
 a AS (SELECT DISTINCT x, y, z FROM s WHERE l_linestatus = 'O'), b AS (SELECT DISTINCT x, y, z FROM s WHERE l_linestatus <> 'O'),
 d AS (SELECT a.x, a.y, a.z, b.x AS u, b.y AS v, b.z AS w, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d FROM a, b)
 SELECT round(sqrt(max(m)), 9) AS hausdorff FROM (SELECT min(d) AS m FROM d GROUP BY x, y, z UNION ALL SELECT min(d) AS m FROM d GROUP BY u, v, w)"""
 
 
 def _merge_concat(s, d):
-    df = points(s, d)
-    parts = [df.where(F.col("l_orderkey") % 3 == k) for k in range(3)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("x", "y", "z", "i", *KEYS)
+    """Three clouds written apart, then merged and read back."""
+    df, folder = points(s, d), scratch(s, "merge")
+    for k in range(3):
+        layout.write_points(df.where(F.col("l_orderkey") % 3 == k), f"{folder}/{k}")
+    layout.merge(s, [f"{folder}/{k}" for k in range(3)], f"{folder}/merged")
+    return s.read.parquet(f"{folder}/merged").select("x", "y", "z", "i", *KEYS)
+
+
+def _clustered(s, d):
+    """The quadtree layout, written and read back: the points of each cell and how many row groups hold them is up to the layout, the cells are not."""
+    folder = f"{scratch(s, 'cluster')}/cloud"
+    layout.write_points(layout.cluster(points(s, d), "quadtree", 4096), folder, row_group=4096)
+    return s.read.parquet(folder)
+
+
+def _cluster_cells(s, d):
+    return _clustered(s, d).groupBy("level", "col", "row").agg(F.count("*").alias("n_points"), F.min("i").alias("imin"), F.max("i").alias("imax"))
+
+
+def _row_groups(s, d):
+    """The catalog of the clustered cloud's row groups, from footers, summed up over its files."""
+    catalog = bd.row_group_catalog(_clustered(s, d))
+    return catalog.agg(F.sum("n_points").alias("n_points"), *[f(f"{c}{e}").alias(f"{c}{e}") for c in ("x", "y", "i") for f, e in ((F.min, "min"), (F.max, "max"))])
+
+
+def _lod_indexed(s, d):
+    cloud = _clustered(s, d)
+    return query.lod_query(cloud, bd.row_group_catalog(cloud), LOD).select("x", "y", "z", "i", *KEYS)
+
+
+def _ply_round_trip(s, d):
+    register(s)
+    path = f"{scratch(s, 'ply')}/cloud.ply"
+    write_ply(points(s, d).select("x", "y", "z", "i", *[F.col(k).cast("int") for k in KEYS]), path)
+    return s.read.format("ply").load(path).select("x", "y", "z", "i", *[F.col(k).cast("long") for k in KEYS])
+
+
+CELLS_SQL = f"""WITH {POINTS_SQL}, b AS (SELECT count(*) AS n, min(x) AS x_lo, max(x) AS x_hi, min(y) AS y_lo, max(y) AS y_hi FROM points),
+s AS (SELECT *, greatest(x_hi - x_lo, y_hi - y_lo) + 0.1::DOUBLE AS size FROM b),
+r AS (SELECT CAST(greatest(0, round(ln(n * size * size / ((x_hi - x_lo) * (y_hi - y_lo)) / 4096) / ln(4))) AS INT) AS depth, (x_lo + x_hi) / 2 - size / 2 AS x0, (y_lo + y_hi) / 2 - size / 2 AS y0, size FROM s),
+bands AS (SELECT depth, x0, y0, size, level, CASE WHEN level = depth THEN 1.0::DOUBLE ELSE (pow(4, level + 1) - 1) / (pow(4, depth + 1) - 1) END AS upper FROM r, LATERAL (SELECT unnest(range(depth + 1)) AS level)),
+leveled AS (SELECT p.*, (SELECT min(CASE WHEN p.i < b.upper OR b.level = b.depth THEN b.level END) FROM bands b) AS level FROM points p),
+placed AS (SELECT leveled.*, greatest(0, least(CAST(floor((x - x0) / (size / pow(2.0::DOUBLE, level))) AS BIGINT), CAST(pow(2, level) AS BIGINT) - 1)) AS col, greatest(0, least(CAST(floor((y - y0) / (size / pow(2.0::DOUBLE, level))) AS BIGINT), CAST(pow(2, level) AS BIGINT) - 1)) AS row FROM leveled, r)
+SELECT CAST(level AS INT) AS level, col, row, count(*) AS n_points, min(i) AS imin, max(i) AS imax FROM placed GROUP BY 1, 2, 3"""
 
 
 def _probes(s, d):
@@ -224,9 +258,12 @@ TABLE: dict[str, tuple] = {
     "pc_rotate": (_rotate, f"WITH {POINTS_SQL} SELECT round(x * {_C!r}::DOUBLE + y * {-_S!r}::DOUBLE, 6) AS x, round(x * {_S!r}::DOUBLE + y * {_C!r}::DOUBLE, 6) AS y, round(z, 6) AS z, {PKEYS} FROM points"),
     "pc_raw_roundtrip": (_raw, f"WITH {POINTS_SQL}, r AS (SELECT *, CAST(round((x - 1000.0::DOUBLE) / 0.001::DOUBLE) AS INT) AS x_raw, CAST(round((y - -500.0::DOUBLE) / 0.001::DOUBLE) AS INT) AS y_raw FROM points) SELECT x_raw, y_raw, round(x_raw * 0.001::DOUBLE + 1000.0::DOUBLE, 6) AS x, round(y_raw * 0.001::DOUBLE + -500.0::DOUBLE, 6) AS y, {PKEYS} FROM r"),
     "pc_rescale_16_8": (_colour, f"WITH {POINTS_SQL} SELECT CAST((l_partkey * 131) % 65536 AS INT) AS red, CAST(trunc(CAST((l_partkey * 131) % 65536 AS DOUBLE) / 65535 * 255) AS INT) AS red8, {PKEYS} FROM points WHERE (l_partkey * 131) % 65536 > 0"),
-    "pc_hausdorff": (_hausdorff, HAUSDORFF_SQL), "pc_hausdorff_whole": (_hausdorff_whole, HAUSDORFF_WHOLE_SQL),
+    "pc_hausdorff": (_hausdorff, HAUSDORFF_SQL),
     "pc_merge_concat": (_merge_concat, f"WITH {POINTS_SQL} SELECT x, y, z, i, {PKEYS} FROM points"),
-    "pc_cluster_quadtree": (lambda s, d: layout.cluster(points(s, d), "quadtree", 4096).groupBy("level").agg(F.count("*").alias("n_points")).agg(F.sum("n_points").alias("n_points")), f"WITH {POINTS_SQL} SELECT CAST(count(*) AS BIGINT) AS n_points FROM points"),
+    "pc_cluster_quadtree": (_cluster_cells, CELLS_SQL),
+    "pc_row_group_catalog": (_row_groups, f"WITH {POINTS_SQL} SELECT CAST(count(*) AS BIGINT) AS n_points, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax, min(i) AS imin, max(i) AS imax FROM points"),
+    "pc_lod_indexed": (_lod_indexed, f"WITH {POINTS_SQL} SELECT x, y, z, i, {PKEYS} FROM points WHERE " + " AND ".join(f"{d} >= {a!r}::DOUBLE AND {d} < {b!r}::DOUBLE" for d, a, b in zip(LOD.dims, LOD.lower, LOD.upper, strict=True))),
+    "pc_ply_roundtrip": (_ply_round_trip, f"WITH {POINTS_SQL} SELECT x, y, z, i, {PKEYS} FROM points"),
 }
 
 #: SQL that runs on both engines as it stands.
@@ -236,6 +273,17 @@ COMMON_SQL = {
     "sql_anti_join": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "sql_outer_join": "SELECT s_suppkey, count(l_orderkey) AS n FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey AND l_quantity > 45 GROUP BY s_suppkey",
     "sql_theta_join": "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey",
+    "sql_anti_join_rows": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)",
+    "sql_theta_join_range": "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_acctbal < b.s_acctbal AND a.s_acctbal > b.s_acctbal - 50",
+    "sql_interval_join": "SELECT p_partkey, count(*) AS n FROM part JOIN lineitem ON l_quantity BETWEEN p_size AND p_size + 1 GROUP BY p_partkey",
+    "sql_union_distinct": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier UNION SELECT n_nationkey + 100 FROM nation",
+    "sql_union_all": "SELECT n_nationkey AS k FROM nation UNION ALL SELECT n_regionkey FROM nation",
+    "sql_except_all": "SELECT n_regionkey AS k FROM nation EXCEPT ALL SELECT r_regionkey FROM region",
+    "sql_intersect_all": "SELECT s_nationkey AS k FROM supplier INTERSECT ALL SELECT c_nationkey FROM customer",
+    "sql_range_frame": "SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_suppkey ORDER BY l_quantity RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS n FROM lineitem",
+    "sql_ntile_lead": "SELECT o_orderkey, ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) AS q, dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS r, coalesce(lead(o_orderkey) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey), -1) AS after FROM orders",
+    "sql_regexp": "SELECT p_partkey, regexp_extract(p_name, '[a-z]+', 0) AS word, regexp_extract(p_brand, '([A-Za-z]+)[^0-9]*([0-9]+)', 2) AS number FROM part",
+    "sql_math": "SELECT l_orderkey, l_linenumber, round(sqrt(l_quantity), 6) AS s, CAST(floor(l_extendedprice / 7) AS BIGINT) AS f, abs(l_linenumber - 4) AS a, l_orderkey % 7 AS m FROM lineitem",
     "sql_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS qty FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "sql_cube": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "sql_grouping_sets": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
@@ -278,5 +326,24 @@ def asof_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.unionByName(events).withColumn("event_id", F.last("e", ignorenulls=True).over(w)).where("o is not null").select(F.col("o").alias("o_orderkey"), "event_id")
 
 
+def arrays_and_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays, maps and JSON: each priority's order keys by status, and what is in them."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    grouped = orders.groupBy("o_orderpriority").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"), F.array_sort(F.collect_set("o_orderstatus")).alias("states"))
+    json = F.to_json(F.struct(F.col("states").alias("states"), F.size("keys").alias("n")))
+    return grouped.select("o_orderpriority", F.size("keys").alias("n"), F.element_at("keys", 1).alias("first"), F.array_join("states", "|").alias("states"), F.aggregate(F.transform("keys", lambda k: k % 10), F.lit(0).cast("long"), lambda a, k: a + k).alias("digits"), F.get_json_object(json, "$.states[0]").alias("state"))
+
+
+def approximate_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the sketch's count of distinct parts is within a tenth of the exact one."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return lines.agg(F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.count_distinct("l_partkey").alias("n")).select("n", (F.abs(F.col("a") - F.col("n")) <= 0.1 * F.col("n")).alias("close"))
+
+
+QUERIES |= {"sql_array_json": arrays_and_json, "sql_approx_distinct": approximate_distinct}
+ORACLE |= {
+    "sql_array_json": "SELECT o_orderpriority, CAST(count(*) AS INT) AS n, min(o_orderkey) AS first, array_to_string(list_sort(list(DISTINCT o_orderstatus)), '|') AS states, CAST(sum(o_orderkey % 10) AS BIGINT) AS digits, min(o_orderstatus) AS state FROM orders GROUP BY 1",
+    "sql_approx_distinct": "SELECT count(DISTINCT l_partkey) AS n, true AS close FROM lineitem",
+}
 QUERIES["sql_asof_join"] = asof_events
 ORACLE["sql_asof_join"] = "SELECT o_orderkey, e.event_id FROM orders LEFT JOIN LATERAL (SELECT event_id FROM events WHERE user_id = o_custkey AND ts <= o_orderdate ORDER BY ts DESC, event_id DESC LIMIT 1) e ON true"
