@@ -8,6 +8,8 @@ a reread and not the job.
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -96,6 +98,19 @@ def release(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of what nothing holds any more: shuffle files of jobs that are done, and the driver's freed memory.
+
+    Spark drops a shuffle's files once the JVM's collector has met it, which an
+    idle driver may leave for long.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries keep what they like
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    spark._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def working_tables(spark: SparkSession, but: int = 0) -> Iterator[None]:
     """Deletes at its end the working tables written within, but for so many of the last: what isn't written out by then must not need them."""
@@ -107,6 +122,7 @@ def working_tables(spark: SparkSession, but: int = 0) -> Iterator[None]:
         _tables.remove(held)
         for path in held[: len(held) - but]:
             _delete(spark, path)
+        tidy(spark)
 
 
 def slices(batches, column: int, max_bytes: int = 8 << 20):

@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_words, materialise, mix, release, slices
+from .common import ascii_words, materialise, mix, release, slices, tidy
 
 SEGMENTS, PROBES, BITS_EACH = 1024, 4, 8
 TOP_LEVEL = 64  # counts are 64-bit
@@ -323,10 +323,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = blocks.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("at", "w")).select("block", "at", F.col("w.words").alias("word"), F.col("w.train").alias("n"))
     found = _word_counts(met, blocks.count(), word_blocks)
     found = materialise(found.mapInArrow(_gather, "block long, at binary, h binary, c binary"), "lm-found", "uncompressed")
+    tidy(spark)  # the words' shuffle has been read
     counted = blocks.drop("words", "train").groupBy("block").cogroup(found.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(_counted, COUNTED)
     counted = materialise(counted, "lm-counted")
     total = counted.mapInArrow(_totals, "n long, v long, once long, twice long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "once", "twice")]).first()
     release(blocks, found)
+    tidy(spark)
     model = Model(*map(int, total))
     segments = max(SEGMENTS, 1 << max(0, model.tokens // SEGMENT_TOKENS).bit_length())
     asked = counted.mapInArrow(_ask(segments), "segment int, block long, grams binary, counts binary")

@@ -323,6 +323,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_rows")
 
 
+#: Ids up to which a list of rows to leave out is broadcast: 16 MB of numbers.
+FEW_IDS = 2_000_000
+
+
+def _held(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids
+
+
 def without_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row of each class of near-duplicates, with all its columns as they are: that of the smallest id.
 
@@ -334,9 +342,10 @@ def without_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFram
     key = F.coalesce(F.col("doc_id").cast("long"), number)
     rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     classes = materialise(near_duplicates(docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text")), threshold).select(F.col("doc_id").alias("key"), "kept", "n_rows"), "pmh-classes")
-    left = rows.join(classes.where("not kept").select("key"), "key", "left_anti")
+    left = rows.join(_held(classes.where("not kept").select("key")), "key", "left_anti")
     repeated = classes.where("kept and n_rows > 1").select("key")
     if repeated.limit(1).count():
+        repeated = _held(repeated)
         one = left.join(repeated, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.struct(F.col("row.text").cast("string"), F.xxhash64("row"))).alias("row"))
         left = left.join(repeated, "key", "left_anti").select("key", "row").unionByName(one.select("key", "row"))
     return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import plain_words, slices
+from .common import plain_words, slices, tidy
 
 
 PREFIXES = (4, 5)
@@ -19,8 +19,8 @@ def terms_of(word: str) -> list[str]:
     return [word, *("^" + word[:n] for n in PREFIXES if len(word) >= n)]
 
 
-def _bags(text: pa.Array, vocabulary: dict[str, int] | None) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], dict[str, int]]:
-    """Each row's known terms with their counts, and the counts of its other terms. Without a vocabulary all that are met become known."""
+def _bags(text: pa.Array, vocabulary: dict[str, int], learn: bool = False) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Each row's known terms with their counts, and the counts of its other terms; ``learn`` makes all terms known."""
     words, lens = plain_words(text)
     coded = words.dictionary_encode()
     names: dict[str, int] = {}
@@ -28,8 +28,9 @@ def _bags(text: pa.Array, vocabulary: dict[str, int] | None) -> tuple[list[tuple
     for k, word in enumerate(coded.dictionary.to_pylist()):
         for j, term in enumerate(terms_of(word)):
             of_word[k, j] = names.setdefault(term, len(names))
-    if vocabulary is None:
-        vocabulary = names
+    if learn:
+        for t in names:
+            vocabulary.setdefault(t, len(vocabulary))
     known = np.fromiter((vocabulary.get(t, -1) for t in names), dtype=np.int64, count=len(names))
     hit = of_word[coded.indices.to_numpy(zero_copy_only=False)]
     row = np.repeat(np.arange(len(lens)), lens)
@@ -38,8 +39,8 @@ def _bags(text: pa.Array, vocabulary: dict[str, int] | None) -> tuple[list[tuple
     out = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         there = term[a:b] >= 0
-        out.append((term[a:b][there], counts[a:b][there], counts[a:b][~there]))
-    return out, vocabulary
+        out.append((term[a:b][there].astype(np.int32), counts[a:b][there].astype(np.int32), counts[a:b][~there].astype(np.int32)))
+    return out
 
 
 class Weights:
@@ -81,8 +82,8 @@ class BlockMaxIndex:
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 256, often: float = 1 / 12):
         self.block, self.n = block, len(vectors)
         self.blocks = -(-self.n // block)
-        rows = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
-        terms = np.concatenate([np.zeros(0, dtype=np.int64), *(t for t, _ in vectors)])
+        rows = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in vectors])
+        terms = np.concatenate([np.zeros(0, dtype=np.int32), *(t for t, _ in vectors)])
         weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
         frequent = np.bincount(terms, minlength=n_terms) > often * self.n
         self.slot = np.where(frequent, np.cumsum(frequent) - 1, -1)
@@ -92,9 +93,9 @@ class BlockMaxIndex:
         rows, terms, weights = rows[~of], terms[~of], weights[~of]
         order = np.lexsort((rows, terms))
         rows, self.weights, terms = rows[order], weights[order], terms[order]
-        run = terms * max(1, self.blocks) + rows // block
+        run = terms.astype(np.int64) * max(1, self.blocks) + rows // block
         new = np.nonzero(np.diff(run, prepend=-1))[0]
-        self.rows = rows.astype(np.int32)
+        self.rows = rows
         self.first = new.astype(np.int32)  # of each (term, block): its first posting, block and largest weight
         self.size = np.diff(np.append(new, len(run))).astype(np.int32)
         self.of_block = (rows[new] // block).astype(np.int32)
@@ -148,9 +149,9 @@ class Votes:
     """The labelled examples' index with what turns neighbours into a calibrated score."""
 
     def __init__(self, ids: list, labels: np.ndarray, texts: pa.Array, weight: dict[int, float], k: int):
-        bags, self.vocabulary = _bags(texts, None)
-        known = [(t, c) for t, c, _ in bags]
-        rows = lambda label: np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *(t for (t, _), y in zip(known, labels, strict=True) if y == label)]), minlength=len(self.vocabulary))
+        self.vocabulary: dict[str, int] = {}
+        known = [(t, c) for part in slices([pa.record_batch([texts], names=["text"])], 0, 1 << 20) for t, c, _ in _bags(part.column(0), self.vocabulary, learn=True)]
+        rows = lambda label: np.bincount(np.concatenate([np.zeros(0, dtype=np.int32), *(t for (t, _), y in zip(known, labels, strict=True) if y == label)]), minlength=len(self.vocabulary))
         ones = int(labels.sum())
         self.weights, self.k = Weights(rows(1), rows(0), ones, len(labels) - ones), k
         none = np.zeros(0)
@@ -197,7 +198,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[2] / p[0] for p in pools]), np.array([p[1] / p[0] for p in pools])
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: tuple[int, int] = (1_000, 2_000), class_bytes: int = 24 << 20, k: int = 24) -> Votes:
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, per_class: tuple[int, int] = (1_000, 2_000), class_bytes: int = 16 << 20, k: int = 24) -> Votes:
     """Learn from labelled rows: of each class (0 and 1) those of smallest id hash, at most ``per_class`` and ``class_bytes`` of text (documented bounds, one row at least).
 
     Rows whose crc32(doc_id as text) mod ``folds`` is 0 are held out; where an
@@ -225,8 +226,7 @@ def _score(votes):
     def run(batches):
         model = votes.value
         for batch in slices(batches, 0, 2 << 20):
-            bags, _ = _bags(batch.column(0), model.vocabulary)
-            scored = model.scores(bags)
+            scored = model.scores(_bags(batch.column(0), model.vocabulary))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([s for s, _ in scored], pa.float64()), pa.array([near for _, near in scored], pa.list_(pa.int64()))], names=["row", "score", "evidence"])
 
     return run
@@ -235,6 +235,7 @@ def _score(votes):
 def _scored(docs: DataFrame, labels: DataFrame, columns: list[str], folds: int, options: dict) -> DataFrame:
     """``columns`` as one struct ``row``, beside score and evidence: no name can clash."""
     votes = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds, **options))
+    tidy(docs.sparkSession)
     rows = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     return rows.mapInArrow(_score(votes), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.LongType()))]))
 
