@@ -195,7 +195,7 @@ def test_hausdorff_query_sees_every_point(spark, sf_dir, tmp_path):
     far = [x if j != k else 400_000.0 for j, x in enumerate(t["l_extendedprice"].to_pylist())]
     name = t.schema.get_field_index("l_extendedprice")
     pq.write_table(t.set_column(name, t.schema.field(name), pa.array(far, t.schema.field(name).type)), tmp_path / "lineitem.parquet")
-    assert pt.QUERIES["pc_hausdorff_whole"](spark, str(tmp_path)).first().hausdorff > 5000
+    assert pt.QUERIES["pc_hausdorff"](spark, str(tmp_path)).first().hausdorff > 5000
 
 
 def test_knn_by_catalog_and_radius(spark, sf_dir):
