@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ END = ""  # the end token: no word is empty
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BIGRAM, UNIGRAM = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 BLOCK = "block long, doc_ids array<long>, held array<boolean>, lens array<int>, ids binary, words array<string>, train array<long>"
-COUNTED = "block long, doc_ids array<long>, held array<boolean>, lens array<int>, ids binary, hashes binary, counts binary"
+COUNTED = "block long, doc_ids array<long>, held array<boolean>, lens array<int>, ids binary, words array<string>, counts binary"
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -58,21 +59,21 @@ def _tokenise(batches):
 
 
 def _gather(batches):
-    """(block, at, hash, count, first) rows as one compressed piece for each block and million rows."""
+    """(block, at, count, first) rows as one compressed piece for each block and million rows."""
     held, many = [], 0
 
     def pieces():
-        block, at, h, c = (np.concatenate([x[k] for x in held]) for k in range(4))
+        block, at, c = (np.concatenate([x[k] for x in held]) for k in range(3))
         order = np.lexsort((at, block))
-        block, at, h, c = block[order], at[order], h[order], c[order]
+        block, at, c = block[order], at[order], c[order]
         cuts = np.concatenate([[0], np.nonzero(np.diff(block))[0] + 1, [len(block)]])
-        rows = [(block[a], squeeze(at[a:b]), squeeze(h[a:b]), squeeze(c[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "at", "h", "c"])
+        rows = [(block[a], squeeze(at[a:b]), squeeze(c[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "at", "c"])
 
     for batch in batches:
-        block, at, h, c, first = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        block, at, c, first = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
         # the sign tells the block that a word's count comes from
-        held.append((block.astype(np.int64), at.astype("<u4"), h.astype("<i8"), np.where(first, c, -c).astype("<i8")))
+        held.append((block.astype(np.int64), at.astype("<u4"), np.where(first, c, -c).astype("<i8")))
         many += len(block)
         if many > 1_000_000:
             yield pieces()
@@ -82,12 +83,10 @@ def _gather(batches):
 
 
 def _counted(key, block, counts):
-    """A block with the corpus count and the hash of each of its words."""
-    parts = [[expand(x, kind) for x in counts.column(name).to_pylist()] for name, kind in (("at", "<u4"), ("h", "<u8"), ("c", "<i8"))]
-    at, h, c = (np.concatenate(p) for p in parts)
-    order = np.argsort(at)
-    kept = block.select(["block", "doc_ids", "held", "lens", "ids"])
-    return kept.append_column("hashes", pa.array([h[order].tobytes()], pa.binary())).append_column("counts", pa.array([squeeze(c[order])], pa.binary()))
+    """A block with the corpus count of each of its words."""
+    at, c = (np.concatenate([expand(x, kind) for x in counts.column(name).to_pylist()]) for name, kind in (("at", "<u4"), ("c", "<i8")))
+    kept = block.select(["block", "doc_ids", "held", "lens", "ids", "words"])
+    return kept.append_column("counts", pa.array([squeeze(c[np.argsort(at)])], pa.binary()))
 
 
 class Model:
@@ -115,9 +114,11 @@ class Model:
 
 def _blocks(batch):
     """The blocks of a batch: ids of its rows, held, lens, token ids, word hashes, counts and whether a count is this block's to pass on."""
-    for docs, held, lens, ids, hashes, counts in zip(*(batch.column(n).to_pylist() for n in ("doc_ids", "held", "lens", "ids", "hashes", "counts")), strict=True):
+    for docs, held, lens, ids, words, counts in zip(*(batch.column(n).to_pylist() for n in ("doc_ids", "held", "lens", "ids", "words", "counts")), strict=True):
+        # words take less room than their hashes, which don't compress
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
         c = expand(counts, "<i8")
-        yield docs, np.asarray(held, dtype=bool), np.asarray(lens, dtype=np.int64), expand(ids, "<u4"), np.frombuffer(hashes, "<u8"), np.abs(c), c > 0
+        yield docs, np.asarray(held, dtype=bool), np.asarray(lens, dtype=np.int64), expand(ids, "<u4"), hashes, np.abs(c), c > 0
 
 
 def _before(ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -285,11 +286,11 @@ def _word_counts(met: DataFrame, blocks: int, most: int) -> DataFrame:
     """
     own, first = Window.partitionBy("word"), Window.partitionBy("word").orderBy("block")
     if blocks <= most:
-        return met.select("block", "at", F.xxhash64("word").alias("h"), F.sum("n").over(own).alias("c"), (F.row_number().over(first) == 1).alias("first"))
+        return met.select("block", "at", F.sum("n").over(own).alias("c"), (F.row_number().over(first) == 1).alias("first"))
     met = met.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(-(-blocks // most)).cast("long")))
     parts = met.groupBy("word", "part").agg(F.sum("n").alias("n"), F.min("block").alias("least"))
     parts = parts.select("word", "part", F.sum("n").over(own).alias("c"), F.min("least").over(own).alias("least"))
-    return met.drop("n").join(parts, ["word", "part"]).select("block", "at", F.xxhash64("word").alias("h"), "c", (F.col("block") == F.col("least")).alias("first"))
+    return met.drop("n").join(parts, ["word", "part"]).select("block", "at", "c", (F.col("block") == F.col("least")).alias("first"))
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, bits_each: int = BITS_EACH, word_blocks: int = 4096) -> DataFrame:
@@ -322,9 +323,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks = materialise(rows.mapInArrow(_tokenise, BLOCK), "lm")
     met = blocks.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("at", "w")).select("block", "at", F.col("w.words").alias("word"), F.col("w.train").alias("n"))
     found = _word_counts(met, blocks.count(), word_blocks)
-    found = materialise(found.mapInArrow(_gather, "block long, at binary, h binary, c binary"), "lm-found", "uncompressed")
+    found = materialise(found.mapInArrow(_gather, "block long, at binary, c binary"), "lm-found", "uncompressed")
     tidy(spark)  # the words' shuffle has been read
-    counted = blocks.drop("words", "train").groupBy("block").cogroup(found.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(_counted, COUNTED)
+    counted = blocks.drop("train").groupBy("block").cogroup(found.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(_counted, COUNTED)
     counted = materialise(counted, "lm-counted")
     total = counted.mapInArrow(_totals, "n long, v long, once long, twice long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "once", "twice")]).first()
     release(blocks, found)
