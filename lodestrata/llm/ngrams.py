@@ -18,6 +18,7 @@ SEGMENT_SHIFT = np.uint64(64 - 10)
 END = ""  # the end token: no word is empty
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BIGRAM, UNIGRAM = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
+KEPT = np.uint64(2**64 - 2**12)  # what is sent of a hash: 2 in 1,000 collide among 10^13 n-grams
 BLOCK = "block long, doc_ids array<long>, held array<boolean>, lens array<int>, ids binary, words array<string>, train array<long>"
 COUNTED = "block long, doc_ids array<long>, held array<boolean>, lens array<int>, ids binary, words array<string>, counts binary"
 
@@ -131,9 +132,9 @@ def _before(ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 
 def _of_block(h, ids, lens):
-    """The n-grams of a block: each token's bigram, then each word of its list."""
+    """The n-grams of a block, as hashes of 52 bits: each token's bigram, then each word of its list."""
     with np.errstate(over="ignore"):
-        return np.concatenate([mix(h[_before(ids, lens)] * BIGRAM + h[ids]), mix(h ^ UNIGRAM)])
+        return np.concatenate([mix(h[_before(ids, lens)] * BIGRAM + h[ids]), mix(h ^ UNIGRAM)]) & KEPT
 
 
 def _ask(segments: int):
