@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, release
+from .ngrams import expand, squeeze
 from .vectors import matrix, pack, unpack
 
 PLACED = "vec_id long, is_query boolean, cell int, far double, qcell int, qfar double, x binary"
 WIDE = 640  # digits that hold any sum of products of doubles
+NO_ID = np.iinfo(np.int64).max
 
 
 def _scaled(width: int, scale: float):
@@ -86,8 +88,9 @@ def reaches(k: int, pivots: np.ndarray, near: list[tuple[int, np.ndarray]], quer
     members = pivots[[c for c, _ in near]]
     out = np.full(len(queries), np.inf)
     if len(far) > k:
-        for a in range(0, len(queries), 256):
-            part = queries[a : a + 256]
+        step = max(1, (1 << 21) // len(far))
+        for a in range(0, len(queries), step):
+            part = queries[a : a + step]
             between = distances(pivots[[c for c, _ in part]], members)
             bound = between[:, owner] + far
             kth = np.partition(bound, k, axis=1)[:, k]
@@ -95,8 +98,15 @@ def reaches(k: int, pivots: np.ndarray, near: list[tuple[int, np.ndarray]], quer
     return out * (1 + 1e-9) + 1e-6
 
 
-def _replicate(width: int, pivots, longest: float, cells: np.ndarray, reach: np.ndarray, groups: list[np.ndarray], block_rows: int):
+def needed(pivots: np.ndarray, cells: np.ndarray, reach: np.ndarray) -> float:
+    """The share of rows within the reach of a cell of queries, read from the pivots, which are rows themselves."""
+    return float(np.mean([(distances(pivots[cells[a : a + 256]], pivots) <= reach[a : a + 256, None]).mean() for a in range(0, len(cells), 256)] or [0.0]))
+
+
+def _replicate(width: int, pivots, longest: float, cells: np.ndarray, reach: np.ndarray, groups: list[np.ndarray], block_rows: int, kind: str):
     """Blocks of the rows that each group of queries needs: those within the reach of one of its cells."""
+    all_rows = reach >= 2 * longest  # no two vectors of that length lie farther apart
+    near = [None if all_rows[members].any() else members for members in groups]
 
     def run(batches):
         p = pivots.value[cells]
@@ -105,23 +115,35 @@ def _replicate(width: int, pivots, longest: float, cells: np.ndarray, reach: np.
             ids, blobs = np.asarray(batch.column("vec_id")), unpack(batch.column("x"), "<f8", width)
             for at in range(0, len(ids), block_rows):
                 x, mine = blobs[at : at + block_rows], ids[at : at + block_rows]
-                need = distances(lifted(x, longest), p) <= reach
+                need = distances(lifted(x, longest), p) <= reach if any(m is not None for m in near) else None
                 out: list[list] = [[], [], [], []]
-                for g, members in enumerate(groups):
-                    wanted = need[:, members].any(1)
-                    if wanted.any():
-                        for column, value in zip(out, (g, number, mine[wanted].astype("<i8").tobytes(), x[wanted].tobytes()), strict=True):
-                            column.append(value)
+                whole = None
+                for g, members in enumerate(near):
+                    wanted = None if members is None else need[:, members].any(1)
+                    if wanted is None or wanted.all():
+                        whole = whole or (mine.astype("<i8").tobytes(), squeeze(x.astype(kind).ravel()))
+                        piece = whole
+                    elif wanted.any():
+                        piece = mine[wanted].astype("<i8").tobytes(), squeeze(x[wanted].astype(kind).ravel())
+                    else:
+                        continue
+                    for column, value in zip(out, (g, number, *piece), strict=True):
+                        column.append(value)
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["g", "number", "ids", "xs"])
 
     return run
 
 
-def _queries(_, rows):
+def _queries(kind: str):
     """A group's queries as one row: ids and vectors in one piece each."""
-    ids = np.asarray(rows.column("vec_id"), dtype="<i8")
-    return pa.table({"g": rows.column("g").slice(0, 1), "qids": pa.array([ids.tobytes()], pa.binary()), "qs": pa.array([b"".join(rows.column("x").to_pylist())], pa.binary())})
+
+    def run(_, rows):
+        ids = np.asarray(rows.column("vec_id"), dtype="<i8")
+        x = np.frombuffer(b"".join(rows.column("x").to_pylist()), dtype="<f8")
+        return pa.table({"g": rows.column("g").slice(0, 1), "qids": pa.array([ids.tobytes()], pa.binary()), "qs": pa.array([squeeze(x.astype(kind))], pa.binary())})
+
+    return run
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -144,48 +166,85 @@ def _best(scores, ids, k: int) -> np.ndarray:
     return np.array(sorted(range(len(scores)), key=lambda i: (-int(scores[i]), ids[i]))[:k], dtype=np.int64)
 
 
-def _solve(width: int, k: int, wide: bool, most_held: int = 500_000):
-    """Each block against the queries that need it; a task passes on the k best of a query that it has met."""
-
-    def flush(held):
-        qs, vs, ss = (np.concatenate([h[c] for h in held]) for c in range(3))
-        order = np.array(sorted(range(len(qs)), key=lambda i: (qs[i], -int(ss[i]), vs[i])), dtype=np.int64) if wide else np.lexsort((vs, -ss, qs))
-        qs, vs, ss = qs[order], vs[order], ss[order]
-        first = np.searchsorted(qs, qs)
-        top = np.arange(len(qs)) - first < k
-        return qs[top], vs[top], ss[top]
+def best_of(qi: np.ndarray, q: np.ndarray, xi: np.ndarray, x: np.ndarray, k: int, query_rows: int = 2048, data_rows: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of each query's k best rows among x, itself left out; x comes in the order of xi.
 
-    def batch_of(qs, vs, ss):
-        exact = [str(int(s)) for s in ss] if wide else [None] * len(ss)
+    A block of products is looked into only where its largest beats a query's
+    k-th best so far; of equal scores the earlier one, of smaller id, stays.
+    """
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
+    if most >= 2**53:
+        out = []
+        for a in range(0, len(xi), data_rows):
+            score = products(q, x[a : a + data_rows])
+            ids = xi[a : a + data_rows]
+            for row in range(len(qi)):
+                top = _best(score[row], ids, k + 1)  # one may be the query's own
+                top = top[ids[top] != qi[row]][:k]
+                out.append((np.full(len(top), qi[row]), ids[top], score[row][top].astype(object)))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (qi[:0], xi[:0], np.zeros(0, dtype=object))
+    kind = np.float32 if most < 2**24 else np.float64  # products and sums are exact
+    x = x.astype(kind)
+    cuts = [0, *[c for c in (64, 512) if c < len(xi)]]
+    cuts += [*range(cuts[-1] + data_rows, len(xi), data_rows), len(xi)]
+    out = []
+    for b in range(0, len(qi), query_rows):
+        mine, own = q[b : b + query_rows].astype(kind), qi[b : b + query_rows]
+        score, ids = np.full((len(own), k), -np.inf), np.full((len(own), k), NO_ID)
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            s = mine @ x[lo:hi].T
+            rows = np.nonzero(s.max(1, initial=-np.inf) > score[:, -1])[0]
+            r, c = np.nonzero(s[rows] > score[rows, -1].astype(kind)[:, None])
+            other = xi[lo + c] != own[rows[r]]
+            r, c = r[other], c[other]
+            held = np.repeat(np.arange(len(rows)), k)
+            owner, found, at = np.concatenate([r, held]), np.concatenate([s[rows[r], c], score[rows].ravel()]), np.concatenate([xi[lo + c], ids[rows].ravel()])
+            order = np.lexsort((at, -found, owner))
+            owner, found, at = owner[order], found[order], at[order]
+            top = np.arange(len(owner)) - np.searchsorted(owner, owner) < k
+            score[rows], ids[rows] = found[top].reshape(-1, k), at[top].reshape(-1, k)
+        there = np.isfinite(score)
+        out.append((np.repeat(own, k).reshape(-1, k)[there], ids[there], score[there].astype(np.int64)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (qi[:0], xi[:0], np.zeros(0, dtype=np.int64))
+
+
+def _solve(width: int, k: int, wide: bool, kind: str):
+    """A group's queries against a share of the rows that it needs: the k best of each query."""
+
+    def run(_, blocks, asked):
+        if not (len(blocks) and len(asked)):
+            qs, vs, ss = (np.zeros(0, dtype=np.int64),) * 3
+        else:
+            q = expand(asked.column("qs")[0].as_py(), kind).reshape(-1, width)
+            qi = np.frombuffer(asked.column("qids")[0].as_py(), dtype="<i8")
+            xi = np.concatenate([np.frombuffer(i, dtype="<i8") for i in blocks.column("ids").to_pylist()])
+            x = np.concatenate([expand(v, kind).reshape(-1, width) for v in blocks.column("xs").to_pylist()])
+            order = np.argsort(xi, kind="stable")
+            qs, vs, ss = best_of(qi, q, xi[order], x[order], k)
+        exact = [str(int(s)) for s in ss] if wide else pa.nulls(len(ss), pa.string())
         # as text, zero-filled and lifted above 0, integers of any size sort as they are
-        order = [str(int(s) + 10**WIDE).zfill(WIDE + 1) for s in ss] if wide else [None] * len(ss)
+        place = [str(int(s) + 10**WIDE).zfill(WIDE + 1) for s in ss] if wide else pa.nulls(len(ss), pa.string())
         scores = pa.array([int(s) if abs(int(s)) < 2**63 else None for s in ss], pa.int64()) if wide else pa.array(ss, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(vs, pa.int64()), scores, pa.array(exact, pa.string()), pa.array(order, pa.string())], names=["query_id", "vec_id", "score", "exact", "place"])
-
-    def run(batches):
-        held, many = [], 0
-        for batch in batches:
-            for qids, qs, ids, xs in zip(*(batch.column(n).to_pylist() for n in ("qids", "qs", "ids", "xs")), strict=True):
-                q, x = np.frombuffer(qs, dtype="<f8").reshape(-1, width), np.frombuffer(xs, dtype="<f8").reshape(-1, width)
-                qi, xi = np.frombuffer(qids, dtype="<i8"), np.frombuffer(ids, dtype="<i8")
-                score = products(q, x)
-                for row in range(len(qi)):
-                    top = _best(score[row], xi, k + 1)  # one may be the query's own
-                    top = top[xi[top] != qi[row]][:k]
-                    held.append((np.full(len(top), qi[row]), xi[top], score[row][top].astype(object if wide else np.int64)))
-                    many += len(top)
-                if many > most_held:
-                    held = [flush(held)]
-                    many = len(held[0][0])
-                    if many > most_held // 2:
-                        yield batch_of(*held[0])
-                        held, many = [], 0
-        if held:
-            yield batch_of(*flush(held))
+        return pa.table({"query_id": pa.array(qs, pa.int64()), "vec_id": pa.array(vs, pa.int64()), "score": scores, "exact": pa.array(exact, pa.string()) if wide else exact, "place": pa.array(place, pa.string()) if wide else place})
 
     return run
 
 
+def few_pivots(whole: DataFrame, n: int, wanted: int) -> list:
+    """The ``wanted`` rows of smallest id hash.
+
+    Every task would send the driver so many; only hashes under a bound that
+    holds about as many rows in all are looked at, if enough rows have one.
+    """
+    hashed = F.xxhash64("vec_id")
+    share = (wanted + 8 * math.isqrt(wanted) + 16) / max(1, n)
+    if share < 1:
+        picked = whole.where(hashed < int(-(2**63) + share * 2**64)).orderBy(hashed, "vec_id").limit(wanted).select("x").collect()
+        if len(picked) == wanted:
+            return picked
+    return whole.orderBy(hashed, "vec_id").limit(wanted).select("x").collect()
+
+
 def _join(vectors: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str, scale: float, n_pivots: int | None, block_rows: int, query_rows: int):
     """The groups of queries and the blocks they need, each with ``g`` and ``salt``; the width and whether scores may outgrow 64 bits."""
     spark = vectors.sparkSession
@@ -195,7 +254,8 @@ def _join(vectors: DataFrame, is_query: Column, k: int, id_col: str, vector_col:
     whole = materialise(whole.groupBy("vec_id").agg(F.min(F.struct("x", "n2", "most")).alias("m"), F.max("is_query").alias("is_query")).select("vec_id", "is_query", "m.*"), "knn")
     stats = whole.agg(F.count("*").alias("n"), F.coalesce(F.max("n2"), F.lit(0.0)).alias("n2"), F.coalesce(F.max("most"), F.lit(0.0)).alias("most"), F.coalesce(F.sum(F.col("is_query").cast("long")), F.lit(0)).alias("queries")).first()
     longest, wide = math.sqrt(stats.n2) if math.isfinite(stats.n2) else math.inf, not stats.most < math.sqrt(2**62 / width)
-    picked = whole.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots or max(8, math.isqrt(max(0, stats.n - 1)) + 1)).select("x").collect()
+    kind = "<i2" if stats.most < 2**15 else "<f8"
+    picked = few_pivots(whole, stats.n, n_pivots or max(8, math.isqrt(max(0, stats.n - 1)) + 1))
     pivots = np.unique(np.stack([np.frombuffer(r.x, dtype="<f8") for r in picked]), axis=0) if picked else np.zeros((1, width))
     if not longest < 1e150:  # squares would overflow: one cell, which nothing is kept from
         pivots, longest = np.zeros((1, width)), 0.0
@@ -216,6 +276,8 @@ def _join(vectors: DataFrame, is_query: Column, k: int, id_col: str, vector_col:
         reach = np.full(len(of_queries), np.inf)
     cells = np.array([r.qcell for r in of_queries], dtype=np.int64)
     query_rows = max(query_rows, min(8192, stats.queries // 64))
+    if not longest or needed(lift, cells, reach) > 0.5:  # most rows go to every group: few groups
+        query_rows = max(query_rows, min(65_536, stats.queries // 4))
     groups, parts = [], []
     for members in neighbourhoods(lift[cells], np.array([r.n for r in of_queries], dtype=np.int64), query_rows):
         # a hot cell's queries fill groups of their own
@@ -224,22 +286,22 @@ def _join(vectors: DataFrame, is_query: Column, k: int, id_col: str, vector_col:
         groups += [members] * split
     table = F.broadcast(spark.createDataFrame(parts, "qcell int, base int, split int"))  # a row for each pivot at most
     asked = placed.where("is_query").select("vec_id", "qcell", "x").join(table, "qcell").select((F.col("base") + F.pmod(F.xxhash64("vec_id"), F.col("split").cast("long"))).cast("int").alias("g"), "vec_id", "x")
-    salts = max(1, -(-int(stats.n) // (8 * block_rows)))
-    asked = asked.groupBy("g").applyInArrow(_queries, "g int, qids binary, qs binary").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salts = max(1, min(16, -(-int(stats.n) // (8 * block_rows))), -(-int(stats.n) // (128 * block_rows)))
+    asked = asked.groupBy("g").applyInArrow(_queries(kind), "g int, qids binary, qs binary").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     if longest:
-        blocks = placed.select("vec_id", "x").mapInArrow(_replicate(width, held, longest, cells, reach, [np.array(g) for g in groups], block_rows), "g int, number long, ids binary, xs binary")
+        blocks = placed.select("vec_id", "x").mapInArrow(_replicate(width, held, longest, cells, reach, [np.array(g) for g in groups], block_rows, kind), "g int, number long, ids binary, xs binary")
     else:
-        blocks = placed.select("vec_id", "x").mapInArrow(_whole_blocks(width, len(groups), block_rows), "g int, number long, ids binary, xs binary")
-    return asked, blocks.withColumn("salt", F.pmod(F.xxhash64("number", F.spark_partition_id()), F.lit(salts).cast("long")).cast("int")).drop("number"), width, wide
+        blocks = placed.select("vec_id", "x").mapInArrow(_whole_blocks(width, len(groups), block_rows, kind), "g int, number long, ids binary, xs binary")
+    return asked, blocks.withColumn("salt", F.pmod(F.xxhash64("number", F.spark_partition_id()), F.lit(salts).cast("long")).cast("int")).drop("number"), width, wide, kind
 
 
-def _whole_blocks(width: int, groups: int, block_rows: int):
+def _whole_blocks(width: int, groups: int, block_rows: int, kind: str):
     def run(batches):
         number = 0
         for batch in batches:
             ids, x = np.asarray(batch.column("vec_id")), unpack(batch.column("x"), "<f8", width)
             for at in range(0, len(ids), block_rows):
-                piece = ids[at : at + block_rows].astype("<i8").tobytes(), x[at : at + block_rows].tobytes()
+                piece = ids[at : at + block_rows].astype("<i8").tobytes(), squeeze(x[at : at + block_rows].astype(kind).ravel())
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array(range(groups), pa.int32()), pa.array([number] * groups, pa.int64()), *(pa.array([p] * groups, pa.binary()) for p in piece)], names=["g", "number", "ids", "xs"])
 
@@ -267,7 +329,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     groups of about ``query_rows``; a row goes to the groups that have it within
     reach of a cell, in blocks, and each block is solved by one matrix product.
     A hot cell's queries are split over several groups, a group's blocks over
-    several tasks; a task passes on a query's k best.
+    several shares; a share passes on a query's k best. Where bounds prune
+    little, groups grow with the queries, up to 65,536, and shares with the
+    rows, up to 131,072: the shuffle then holds all rows once for each group
+    and all queries once for each share, as 16-bit integers where they fit.
 
     Vectors that are null, empty or hold null or non-finite components (after
     scaling, too), and rows without an id, take no part; shorter vectors are
@@ -276,8 +341,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     ``score`` is exact, or null beyond 64 bits, where ``exact_score`` has it as
     text; ranks go by the exact one. Further columns are ignored.
     """
-    asked, blocks, width, wide = _join(vectors, is_query, k, id_col, vector_col, scale, n_pivots, block_rows, query_rows)
-    solved = blocks.join(asked, ["g", "salt"]).select("qids", "qs", "ids", "xs").mapInArrow(_solve(width, k, wide), "query_id long, vec_id long, score long, exact string, place string")
+    asked, blocks, width, wide, kind = _join(vectors, is_query, k, id_col, vector_col, scale, n_pivots, block_rows, query_rows)
+    solved = blocks.groupBy("g", "salt").cogroup(asked.groupBy("g", "salt")).applyInArrow(_solve(width, k, wide, kind), "query_id long, vec_id long, score long, exact string, place string")
     best = Window.partitionBy("query_id").orderBy(F.desc("place" if wide else "score"), "vec_id")
     return solved.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", F.coalesce("exact", F.col("score").cast("string")).alias("exact_score"))
 

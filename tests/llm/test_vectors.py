@@ -169,3 +169,33 @@ def test_repeated_ids_give_one_result(spark):
         df = spark.createDataFrame(order, "vec_id long, embedding array<double>, label int").repartition(7)
         results.append((sorted(map(tuple, itq.near_duplicates(df).collect())), sorted(map(tuple, knn.top_k(df, F.col("vec_id") % 4 == 0).collect()))))
     assert results[0] == results[1]
+
+
+def test_knn_pivots_reach_the_driver_once(spark, monkeypatch):
+    """The tasks together send the driver few more rows than the pivots, and those are the rows of smallest id hash."""
+    whole = spark.range(0, 40_000, 1, 40).select(F.col("id").alias("vec_id"), F.col("id").cast("string").cast("binary").alias("x"))
+    sent = []
+    limit = type(whole).limit
+    monkeypatch.setattr(type(whole), "limit", lambda self, n: (sent.append(self.groupBy(F.spark_partition_id().alias("p")).count().agg(F.sum(F.least("count", F.lit(n)))).collect()[0][0]), limit(self, n))[1])
+    got = [bytes(r.x) for r in knn.few_pivots(whole, 40_000, 200)]
+    monkeypatch.undo()
+    assert sent == [sent[0]] and sent[0] < 400
+    assert got == [bytes(r.x) for r in whole.orderBy(F.xxhash64("vec_id"), "vec_id").limit(200).collect()]
+    assert len(knn.few_pivots(whole.where("vec_id < 5"), 40_000, 200)) == 5
+
+
+@pytest.mark.parametrize("top", [1, 40, 2000, 60_000_000, 2**40])
+def test_best_of_equals_brute_force(top):
+    """Ties, all equal rows, rising scores and numbers beyond each kind of product."""
+    rng = np.random.default_rng(top % 97)
+    x = rng.integers(-top, top + 1, (1500, 3)).astype(float)
+    x[700:1100] = x[700]
+    x[1200:] = np.arange(300)[:, None] * float(max(1, top // 300))
+    ids = np.sort(rng.choice(10_000, 1500, replace=False)).astype(np.int64)
+    qi, q = ids[::30], x[::30]
+    got = list(zip(*(c.tolist() for c in knn.best_of(qi, q, ids, x, 5, 16, 100)), strict=True))
+    if top > 2000:  # a row's pieces are joined later
+        got = [p for i in qi.tolist() for p in sorted((r for r in got if r[0] == i), key=lambda r: (-r[2], r[1]))[:5]]
+    whole = [[int(c) for c in v] for v in x]
+    want = [(int(i), j, -s) for i, v in zip(qi, q, strict=True) for s, j in sorted((-sum(int(a) * b for a, b in zip(v, w, strict=True)), int(j)) for j, w in zip(ids, whole, strict=True) if j != i)[:5]]
+    assert got == want
