@@ -18,9 +18,9 @@ SEGMENT_SHIFT = np.uint64(64 - 10)
 END = ""  # the end token: no word is empty
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BIGRAM, UNIGRAM = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
-KEPT = np.uint64(2**64 - 2**12)  # what is sent of a hash: 2 in 1,000 collide among 10^13 n-grams
-BLOCK = "block long, doc_ids array<long>, held array<boolean>, lens array<int>, ids binary, words array<string>, train array<long>"
-COUNTED = "block long, doc_ids array<long>, held array<boolean>, lens array<int>, ids binary, words array<string>, counts binary"
+HASH_BITS, SPARE_BITS = 46, 14  # what is sent of a hash, at least and beyond the number of tokens: 1 n-gram in 16,384 meets another at most
+BLOCK = "block long, doc_ids array<long>, held array<boolean>, lens array<int>, ids binary, words array<string>, train array<long>, names binary"
+COUNTED = "block long, doc_ids array<long>, held array<boolean>, lens array<int>, ids binary, names binary, counts binary"
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -35,6 +35,17 @@ def expand(blob: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, n).T).view(kind).ravel()
 
 
+def together(words: list[str]) -> bytes:
+    """A block's words in one compressed piece: none holds white space."""
+    raw = "\n".join(words).encode()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+
+
+def apart(blob: bytes) -> list[bytes]:
+    n = int.from_bytes(blob[:8], "little")
+    return (pa.decompress(blob[8:], n, "zstd", asbytes=True) if n else b"").split(b"\n")
+
+
 def _tokenise(batches):
     """Blocks of whole texts: token ids into the block's own word list, the most frequent first, and each word's count in training rows."""
     task, number = TaskContext.get().partitionId(), 0
@@ -52,8 +63,8 @@ def _tokenise(batches):
         train = np.bincount(ids[~np.repeat(held, lens)], minlength=len(names))
         one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([task * (1 << 24) + number], pa.int64()), one(batch.column(0), pa.int64()), one(held, pa.bool_()), one(lens, pa.int32()), pa.array([squeeze(ids)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), one(train, pa.int64())],
-            names=["block", "doc_ids", "held", "lens", "ids", "words", "train"],
+            [pa.array([task * (1 << 24) + number], pa.int64()), one(batch.column(0), pa.int64()), one(held, pa.bool_()), one(lens, pa.int32()), pa.array([squeeze(ids)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), one(train, pa.int64()), pa.array([together(names.to_pylist())], pa.binary())],
+            names=["block", "doc_ids", "held", "lens", "ids", "words", "train", "names"],
         )
         number += 1
         pa.default_memory_pool().release_unused()
@@ -86,7 +97,7 @@ def _gather(batches):
 def _counted(key, block, counts):
     """A block with the corpus count of each of its words."""
     at, c = (np.concatenate([expand(x, kind) for x in counts.column(name).to_pylist()]) for name, kind in (("at", "<u4"), ("c", "<i8")))
-    kept = block.select(["block", "doc_ids", "held", "lens", "ids", "words"])
+    kept = block.select(["block", "doc_ids", "held", "lens", "ids", "names"])
     return kept.append_column("counts", pa.array([squeeze(c[np.argsort(at)])], pa.binary()))
 
 
@@ -115,8 +126,9 @@ class Model:
 
 def _blocks(batch):
     """The blocks of a batch: ids of its rows, held, lens, token ids, word hashes, counts and whether a count is this block's to pass on."""
-    for docs, held, lens, ids, words, counts in zip(*(batch.column(n).to_pylist() for n in ("doc_ids", "held", "lens", "ids", "words", "counts")), strict=True):
+    for docs, held, lens, ids, names, counts in zip(*(batch.column(n).to_pylist() for n in ("doc_ids", "held", "lens", "ids", "names", "counts")), strict=True):
         # words take less room than their hashes, which don't compress
+        words = apart(names)
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
         c = expand(counts, "<i8")
         yield docs, np.asarray(held, dtype=bool), np.asarray(lens, dtype=np.int64), expand(ids, "<u4"), hashes, np.abs(c), c > 0
@@ -131,24 +143,30 @@ def _before(ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return before
 
 
-def _of_block(h, ids, lens):
-    """The n-grams of a block, as hashes of 52 bits: each token's bigram, then each word of its list."""
+def hash_bits(tokens: int) -> int:
+    """Bits of an n-gram's hash that are sent, by the training tokens."""
+    return min(64, max(HASH_BITS, tokens.bit_length() + SPARE_BITS))
+
+
+def _of_block(h, ids, lens, bits: int):
+    """The n-grams of a block, as the upper ``bits`` bits of their hashes: each token's bigram, then each word of its list."""
+    drop = np.uint64(64 - bits)
     with np.errstate(over="ignore"):
-        return np.concatenate([mix(h[_before(ids, lens)] * BIGRAM + h[ids]), mix(h ^ UNIGRAM)]) & KEPT
+        return np.concatenate([mix(h[_before(ids, lens)] * BIGRAM + h[ids]), mix(h ^ UNIGRAM)]) >> drop << drop
 
 
-def _ask(segments: int):
+def _ask(segments: int, bits: int):
     """A block's distinct n-grams in order, cut by segment, and how often its training rows have each."""
-    shift = np.uint64(65 - segments.bit_length())
+    shift, drop = np.uint64(65 - segments.bit_length()), np.uint64(64 - bits)
 
     def run(batches):
         for batch in batches:
             for block, (_, held, lens, ids, h, _, _) in zip(batch.column("block").to_pylist(), _blocks(batch), strict=True):
                 train = (~np.repeat(held, lens)).astype(np.float64)
-                gram, at = np.unique(_of_block(h, ids, lens), return_inverse=True)
+                gram, at = np.unique(_of_block(h, ids, lens, bits), return_inverse=True)
                 n = np.bincount(at, weights=np.concatenate([train, np.bincount(ids, weights=train, minlength=len(h))])).astype("<i8")
                 cuts = np.searchsorted(gram >> shift, np.arange(segments + 1, dtype=np.uint64))
-                rows = [(s, block, squeeze(np.diff(gram[a:b], prepend=np.uint64(0))), squeeze(n[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+                rows = [(s, block, squeeze(np.diff(gram[a:b] >> drop, prepend=np.uint64(s) << shift >> drop)), squeeze(n[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
                 kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["segment", "block", "grams", "counts"])
@@ -195,11 +213,13 @@ def bits_for(entries: int, each: int = BITS_EACH) -> int:
     return 1 << max(10, int(np.ceil(np.log2(max(1, each * entries)))))
 
 
-def _answer(each: int = BITS_EACH):
+def _answer(each: int = BITS_EACH, segments: int = 0, hashed: int = 64):
     """Fills a segment of the filter and reads it for every block that asks: the levels of the block's n-grams, in their order."""
+    drop = np.uint64(64 - hashed)
 
     def run(_, rows):
-        asked = [np.cumsum(expand(x, "<u8"), dtype=np.uint64) for x in rows.column("grams").to_pylist()]
+        first = np.uint64(rows.column("segment")[0].as_py()) << np.uint64(65 - segments.bit_length()) if segments else np.uint64(0)
+        asked = [(np.cumsum(expand(x, "<u8"), dtype=np.uint64) << drop) + first for x in rows.column("grams").to_pylist()]
         gram, at = np.unique(np.concatenate(asked), return_inverse=True)
         n = np.bincount(at, weights=np.concatenate([expand(x, "<i8") for x in rows.column("counts").to_pylist()]))
         level = np.where(n > 0, quantise(n), 0)
@@ -244,11 +264,11 @@ def middle(level: np.ndarray) -> np.ndarray:
     return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 2.0 ** (level - 1) / np.log(2)))
 
 
-def log_probabilities(model: Model, levels, hashes, ids, lens) -> np.ndarray:
+def log_probabilities(model: Model, levels, hashes, ids, lens, bits: int | None = None) -> np.ndarray:
     """log10 probability of each token, from the levels of the block's distinct n-grams in their order."""
     if not model.tokens:
         return np.zeros(len(ids))
-    _, at = np.unique(_of_block(hashes, ids, lens), return_inverse=True)
+    _, at = np.unique(_of_block(hashes, ids, lens, bits or hash_bits(model.tokens)), return_inverse=True)
     count = middle(levels)[at]
     seen, words = count[: len(ids)], count[len(ids) :]
     return np.log10(model.token(seen, words[_before(ids, lens)], model.single(words)[ids]))
@@ -326,15 +346,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = _word_counts(met, blocks.count(), word_blocks)
     found = materialise(found.mapInArrow(_gather, "block long, at binary, c binary"), "lm-found", "uncompressed")
     tidy(spark)  # the words' shuffle has been read
-    counted = blocks.drop("train").groupBy("block").cogroup(found.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(_counted, COUNTED)
+    counted = blocks.drop("train", "words").groupBy("block").cogroup(found.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(_counted, COUNTED)
     counted = materialise(counted, "lm-counted")
     total = counted.mapInArrow(_totals, "n long, v long, once long, twice long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "once", "twice")]).first()
     release(blocks, found)
     tidy(spark)
     model = Model(*map(int, total))
     segments = max(SEGMENTS, 1 << max(0, model.tokens // SEGMENT_TOKENS).bit_length())
-    asked = counted.mapInArrow(_ask(segments), "segment int, block long, grams binary, counts binary")
-    levels = asked.groupBy("segment").applyInArrow(_answer(bits_each), "block long, segment int, levels binary")
+    asked = counted.mapInArrow(_ask(segments, hash_bits(model.tokens)), "segment int, block long, grams binary, counts binary")
+    levels = asked.groupBy("segment").applyInArrow(_answer(bits_each, segments, hash_bits(model.tokens)), "block long, segment int, levels binary")
     scored = counted.groupBy("block").cogroup(levels.withColumnRenamed("block", "of").groupBy("of"))
     return scored.applyInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

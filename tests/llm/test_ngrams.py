@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 
 from lodestrata.llm import ngrams
@@ -135,3 +136,27 @@ def test_false_positives_do_not_rise_with_the_segment():
         level = ngrams.expand(out.column("levels")[0].as_py(), "u1")
         assert (level[n > 0] >= 1).all() and (level[n == 0] > 0).mean() < 0.03
     assert all(8 <= ngrams.bits_for(n) / n <= 16 for n in (1_000, 10**6, 5 * 10**9))
+
+
+def test_asked_ngrams_take_few_bytes():
+    """A block's n-grams come back whole from the pieces of each segment, at under 3.8 bytes each; words come back from one piece."""
+    rng = np.random.default_rng(2)
+    words, ids = [f"w{k}" for k in range(50_000)] + [ngrams.END], rng.integers(0, 50_001, 400_000).astype("<u4")
+    assert [w.decode() for w in ngrams.apart(ngrams.together(words))] == words and ngrams.apart(ngrams.together([""])) == [b""]
+    one = lambda x: pa.array([x])
+    block = pa.RecordBatch.from_arrays([one(7), one([1, 2]), one([False, True]), one([300_000, 100_000]), one(ngrams.squeeze(ids)), one(ngrams.together(words)), one(ngrams.squeeze(np.ones(50_001, dtype="<i8")))], names=["block", "doc_ids", "held", "lens", "ids", "names", "counts"])
+    ((_, _, lens, at, h, _, _),) = ngrams._blocks(block)
+    bits = ngrams.hash_bits(300_000)
+    want = np.unique(ngrams._of_block(h, at, lens, bits))
+    assert bits == 46 and ngrams.hash_bits(1 << 40) == 55 and len(want) > 400_000
+    (asked,) = ngrams._ask(8, bits)([block])
+    assert sum(map(len, asked.column("grams").to_pylist())) < 3.8 * len(want)
+    got, read = [], ngrams.LogFrequencyBloom.levels
+    try:
+        ngrams.LogFrequencyBloom.levels = lambda self, gram: (got.append(gram), read(self, gram))[1]
+        for k in range(8):
+            levels = ngrams._answer(8, 8, bits)(None, pa.table(asked.slice(k, 1).to_pydict()))
+            assert len(ngrams.expand(levels.column("levels")[0].as_py(), "u1")) == len(got[-1])
+    finally:
+        ngrams.LogFrequencyBloom.levels = read
+    assert np.array_equal(np.concatenate(got), want)

@@ -92,3 +92,24 @@ def test_run_on_clashing_names_and_releases(spark, edge_dir):
     assert cp.run(spark, edge_dir).count() > 0
     left = [x for x in set(glob.glob(f"{root}/lodestrata/*")) - before]
     assert all("/pack-" in x or "/pack" in x or "pipeline-mixing" in x for x in left)
+
+
+def test_tidy_lets_finished_shuffles_go(spark):
+    """Files of a shuffle whose job is done are gone soon after ``tidy``."""
+    import time
+
+    from lodestrata.llm.common import materialise, release, tidy
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(found.apply(k).getName().startswith("shuffle_") for k in range(found.size()))
+
+    tidy(spark)
+    time.sleep(1)
+    before = files()
+    held = materialise(spark.range(20_000).selectExpr("id % 997 as k", "id").repartition(4, "k").mapInArrow(lambda b: b, "k long, id long"), "tidy")
+    assert files() > before
+    tidy(spark)
+    time.sleep(1)
+    assert files() <= before
+    release(held)
